@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, dedup, langid, sharding, urls
+from . import bpe, chat, decontam, dedup, langid, pii, sharding, urls
 from .common import documents
 
 
@@ -39,6 +39,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(documents(spark, sf_dir).select("doc_id", "text"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = {f"n_{k}": (F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long") for i, k in enumerate(pii.KINDS)}
+    return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict")
