@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, dedup, langid, lm, pii, sharding, urls
+from . import bpe, chat, decontam, dedup, jaccard, langid, lm, pii, sharding, urls
 from .common import documents
 
 
@@ -25,6 +25,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.decisions(documents(spark, sf_dir), every_digest=True)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", langid.held_out())
     model = langid.train(docs.where("not held_out"))
