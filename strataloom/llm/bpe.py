@@ -272,12 +272,14 @@ def _texts(batch, column: str) -> tuple[list[str], np.ndarray]:
     return texts, np.fromiter(map(len, texts), np.int64, len(texts))
 
 
-def encode(docs: DataFrame, vocabulary: bytes, text: str = "text", ids: str = "ids", ends: str = "byte_ends") -> DataFrame:
-    """docs with an array of ids and an array of the byte offset at which each token ends. Narrow: no shuffle. Existing columns
-    called ids or ends are replaced."""
+def encode(docs: DataFrame, vocabulary: bytes, text: str = "text", ids: str = "ids", ends: str | None = "byte_ends") -> DataFrame:
+    """docs with an array of ids and, if ends names it, an array of the byte offset at which each token ends. Narrow: no shuffle.
+    Existing columns called ids or ends are replaced."""
     small_batches(docs.sparkSession)
-    docs = docs.drop(ids, ends)
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(ends, T.ArrayType(T.LongType()))])
+    names = [c for c in (ids, ends) if c]
+    docs = docs.drop(*names)
+    kinds = (T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType()))
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, k) for c, k in zip(names, kinds, strict=False))])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -287,8 +289,10 @@ def encode(docs: DataFrame, vocabulary: bytes, text: str = "text", ids: str = "i
             texts, sizes = _texts(batch, text)
             for a, b in chunks(sizes):
                 rows = own.encode(texts[a:b])
-                more = [pa.array(rows, pa.list_(pa.int32())), pa.array([own.byte_ends(r).tolist() for r in rows], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *more], [*batch.schema.names, ids, ends])
+                more = [pa.array(rows, pa.list_(pa.int32()))]
+                if ends:
+                    more.append(pa.array([own.byte_ends(r).tolist() for r in rows], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *more], [*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 

@@ -110,29 +110,53 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
-    names, table = model
     small_batches(docs.sparkSession)
     docs = docs.drop(*[c for c in ("lang_pred", "score") if c != text])
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    names, judge = model[0], _judge(docs, model)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        matrix = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            best, score = np.full(len(texts), -1), np.zeros(len(texts))
-            for a, b in chunks(np.fromiter(map(len, texts), np.int64, len(texts)), 1 << 18):
-                if not names:
-                    continue
-                at, starts, letters = grams(texts[a:b])
-                sums = np.add.reduceat(matrix[at], starts, axis=0)
-                top = sums.argmax(1)
-                odds = np.exp(sums - sums.max(1, keepdims=True))
-                best[a:b] = np.where(letters, top, -1)
-                score[a:b] = np.where(letters, 1 / odds.sum(1), 0.0)
+            best, score = judge(batch.column(text).to_pylist())
             found = pa.array([names[i] if i >= 0 else UNDETERMINED for i in best.tolist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, found, pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)
+
+
+def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+    """docs without the rows whose language is undetermined. Narrow, and no column is added."""
+    small_batches(docs.sparkSession)
+    judge = _judge(docs, model)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column(text).to_pylist())[0] >= 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _judge(docs: DataFrame, model: tuple[list[str], np.ndarray]):
+    """A function of a list of texts: index of the language or -1, and score."""
+    names, table = model
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def judge(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        matrix = shared.value
+        texts = [t or "" for t in texts]
+        best, score = np.full(len(texts), -1), np.zeros(len(texts))
+        for a, b in chunks(np.fromiter(map(len, texts), np.int64, len(texts)), 1 << 18):
+            if not names:
+                continue
+            at, starts, letters = grams(texts[a:b])
+            sums = np.add.reduceat(matrix[at], starts, axis=0)
+            odds = np.exp(sums - sums.max(1, keepdims=True))
+            best[a:b] = np.where(letters, sums.argmax(1), -1)
+            score[a:b] = np.where(letters, 1 / odds.sum(1), 0.0)
+        return best, score
+
+    return judge
