@@ -1,15 +1,16 @@
-"""The registered queries of the corpus operators."""
+"""All registered queries of the corpus operators."""
 
 from __future__ import annotations
 
+from . import selection
+from .registry import QUERIES, SQL
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+flagship = selection.flagship
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
