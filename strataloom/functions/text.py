@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,8 +114,6 @@ def first_difference(a: Column, b: Column, rounds: int = 31) -> Column:
 
 def similarity(a: Column, b: Column, most: int = 3000) -> Column:
     """Ratcliff-Obershelp ratio of two texts' first characters (no built-in says the same, so a vectorised Python function does)."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher

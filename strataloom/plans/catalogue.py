@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import selection
+from . import datapath, matching, selection, statistics
 from .registry import QUERIES, SQL
 
+_ = (datapath, matching, statistics)  # imported to register their queries
 flagship = selection.flagship
 
 
