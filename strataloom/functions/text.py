@@ -70,8 +70,9 @@ def squeezed(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Runs of non-space characters: the stand-in for a tokenizer's count."""
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0))).cast("long")
+    """Runs of non-space characters: the stand-in for a tokenizer's count. Splits at single spaces, which needs no pattern."""
+    spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", "     ")
+    return F.size(F.array_remove(F.split(spaced, " "), "")).cast("long")
 
 
 def word_set(text: Column) -> Column:
@@ -85,10 +86,9 @@ def copies_input(source: Column, output: Column, share: float = 0.9) -> Column:
 
 
 def repeats(text: Column, window: int = 50, stride: int = 10, times: int = 5) -> Column:
-    """Whether any window at a multiple of the stride occurs so many times. Sorted windows make equal ones neighbours, so a
-    window and the one times - 1 places on tell."""
-    last = F.length(text) - window
-    windows = F.when(last >= 0, F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride)), lambda k: F.substring(text, k + 1, F.lit(window)))))
+    """Whether any window at a multiple of the stride occurs so many times. One pass of a pattern that looks ahead takes all windows;
+    sorted, equal ones are neighbours, so a window and the one times - 1 places on tell."""
+    windows = F.sort_array(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{window}}})).{{{stride}}}"), F.lit(1)))
     size = F.size(windows)
     pairs = F.arrays_zip(F.slice(windows, F.lit(1), F.greatest(size - times + 1, F.lit(0))).alias("a"), F.slice(windows, F.lit(times), F.greatest(size - times + 1, F.lit(0))).alias("b"))
     return F.coalesce(F.exists(pairs, lambda p: p["a"] == p["b"]), F.lit(False))

@@ -16,15 +16,16 @@ TIE_BITS = 60
 TIE_PARTS = 16
 
 
-def _ranges(df: DataFrame, score: str, parts: int) -> list[float]:
-    row = df.agg(F.percentile_approx(F.col(score).cast("double"), [i / parts for i in range(1, parts)], 10_000)).first()
-    return sorted(row[0] or [])
+def range_bounds(df: DataFrame, score: str, *more: Column) -> tuple[list[float], list]:
+    """Approximate quantiles of the score, and more aggregates of the same pass."""
+    parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    row = df.agg(F.percentile_approx(F.col(score).cast("double"), [i / parts for i in range(1, parts)], 10_000), *more).first()
+    return sorted(row[0] or []), list(row[1:])
 
 
-def with_range(df: DataFrame, score: str, tie: str, parts: int | None = None) -> DataFrame:
+def with_range(df: DataFrame, score: str, tie: str, bounds: list[float] | None = None) -> DataFrame:
     """Add __range: a number that follows the order (score descending, tie ascending), for a tie key of TIE_BITS bits."""
-    parts = parts or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = _ranges(df, score, parts)
+    bounds = range_bounds(df, score)[0] if bounds is None else bounds
     heavy = sorted({b for b, c in zip(bounds, bounds[1:], strict=False) if b == c})
     cuts = sorted(set(bounds))
     value = F.col(score).cast("double")
@@ -37,10 +38,10 @@ def with_range(df: DataFrame, score: str, tie: str, parts: int | None = None) ->
     return df.withColumn("__range", above.cast("long") * 10_000_000 + inside * 1_000_000 + exact * 100 + sub)
 
 
-def running_sum(df: DataFrame, score: str, tie: str, length: str, out: str = "cum", strata: Sequence[str] = (), rank: str | None = None) -> DataFrame:
+def running_sum(df: DataFrame, score: str, tie: str, length: str, out: str = "cum", strata: Sequence[str] = (), rank: str | None = None, bounds: list[float] | None = None) -> DataFrame:
     """Add the sum of length over all rows up to and including each, by score descending then tie ascending, in each stratum; and
-    the 1-based position, if rank names it. Ties of both keys are ordered by all other columns' absence: keys must be unique."""
-    ranged = with_range(df, score, tie)
+    the 1-based position, if rank names it. Score and tie together must be unique. bounds: quantiles of the score, if known."""
+    ranged = with_range(df, score, tie, bounds)
     totals = ranged.groupBy(*strata, "__range").agg(F.sum(length).alias("__sum"), F.count("*").alias("__rows"))
     before = Window.partitionBy(*strata).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*strata, "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__ahead"))

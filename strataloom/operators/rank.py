@@ -7,20 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import running_sum
+from .prefix import range_bounds, running_sum
 
 
-def value_counts(df: DataFrame, value: str) -> DataFrame:
-    """(value, n, upto): rows at each distinct value, and rows at or below it."""
+def value_counts(df: DataFrame, value: str) -> tuple[DataFrame, int]:
+    """(value, n, upto): rows at each distinct value, and rows at or below it; and the number of rows."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
     counts = counts.withColumns({"__key": -F.col(value).cast("double"), "__tie": F.lit(0).cast("long")})
-    return running_sum(counts, "__key", "__tie", "n", "upto").select(value, "n", "upto")
+    bounds, (total,) = range_bounds(counts, "__key", F.sum("n"))
+    return running_sum(counts, "__key", "__tie", "n", "upto", bounds=bounds).select(value, "n", "upto"), total or 0
 
 
 def average_rank_pct(df: DataFrame, value: str, out: str) -> DataFrame:
     """Average rank of each value over the number of rows, as float32 in (0, 1]."""
-    table = value_counts(df, value)
-    total = df.where(F.col(value).isNotNull()).count()
+    table, total = value_counts(df, value)
     pct = ((F.col("upto") - F.col("n") + 1 + (F.col("n") - 1) / 2) / F.lit(total)).cast("float")
     return df.join(table.select(value, pct.alias(out)), value)
 

@@ -46,12 +46,12 @@ POOL = rf"""pool AS (SELECT doc_id, doc_id + doc_id // 7 AS orig_doc_id, lang AS
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pool with percentile ranks r1, r2, r3 and float32 q and v."""
+    """The pool with percentile ranks r1, r2, r3 and float32 q and v. Narrow columns, cached: each query goes over them several times."""
     df = pool(spark, sf_dir)
     for i in (1, 2, 3):
         df = average_rank_pct(df, f"s{i}", f"r{i}")
     a, b, c = F.col("r1"), F.col("r2"), F.col("r3")
-    return df.withColumn("q", consensus(a, b, c)).withColumn("v", disagreement(a, b, c, F.col("q")))
+    return df.withColumn("q", consensus(a, b, c)).withColumn("v", disagreement(a, b, c, F.col("q"))).cache()
 
 
 _RANK = "((rank() OVER (ORDER BY s{i}) + (count(*) OVER (PARTITION BY s{i}) - 1) / 2.0)::DOUBLE / count(*) OVER ())::FLOAT AS r{i}"
