@@ -131,9 +131,9 @@ def capacity_check(spark, d):
     return blend.capacity(docs.select(F.col("source").alias("ds")).distinct().withColumn("needed", F.lit(50)), available.where("ds <> 'src1'"))
 
 
-@query(f"""WITH d AS (SELECT doc_id FROM documents WHERE doc_id < 200), e AS (SELECT doc_id, epoch, {fx.sql_h("epoch", "epoch || ':' || doc_id")} AS h FROM d, range(0, 3) r(epoch)) SELECT row_number() OVER (ORDER BY epoch = 2, h) - 1 AS pos, epoch::INTEGER AS epoch, doc_id FROM e""")
+@query(f"""WITH d AS (SELECT doc_id FROM documents), e AS (SELECT doc_id, epoch, {fx.sql_h("epoch", "epoch || ':' || doc_id")} AS h FROM d, range(0, 3) r(epoch)) SELECT row_number() OVER (ORDER BY epoch = 2, h) - 1 AS pos, epoch::INTEGER AS epoch, doc_id FROM e""")
 def epoch_doc_order(spark, d):
-    docs = fx.table(spark, d, "documents").where("doc_id < 200")
+    docs = fx.table(spark, d, "documents")
     return tk.epoch_order(docs, "doc_id", 3, True, fx.h("epoch", F.col("epoch"), F.col("doc_id")))
 
 

@@ -13,10 +13,9 @@ _A, _B = fx.sql_passes("a"), fx.sql_passes("b")
 
 
 # --- D: joins -----------------------------------------------------------------------------------------------------------------------
-@query(f"WITH ids AS (SELECT doc_id FROM documents WHERE {fx.sql_h('take')} % 20 = 0) SELECT doc_id, text FROM documents JOIN ids USING (doc_id)")
+@query("SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def positional_take(spark, d):
-    docs = fx.table(spark, d, "documents")
-    return docs.select("doc_id", "text").join(docs.where(fx.h("take", F.col("doc_id")) % 20 == 0).select("doc_id"), "doc_id")
+    return st.only(fx.table(spark, d, "documents").select("doc_id", "text"), "doc_id", fx.table(spark, d, "labels"))
 
 
 @query("SELECT count(*) AS n_rows, count(*) FILTER (l.doc_id IS NULL) AS unmatched FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -112,9 +111,9 @@ def membership_matrix(spark, d):
     return st.membership(fx.sets(spark, d), "doc_id")
 
 
-@query(f"WITH c AS (SELECT doc_id, text FROM documents WHERE {fx.sql_h('align')} % 10 = 0) SELECT doc_id, count(DISTINCT h) AS hashes, count(DISTINCT k) AS n_copies FROM (SELECT doc_id, 1 AS k, sha256(substr(text, 1, 256)) AS h FROM c UNION ALL SELECT doc_id, 2, sha256(substr(CASE WHEN doc_id % 3 = 0 THEN 'x' || text ELSE text END, 1, 256)) FROM c WHERE doc_id % 7 <> 0) GROUP BY doc_id HAVING count(DISTINCT h) > 1 OR count(DISTINCT k) < 2")
+@query("WITH c AS (SELECT doc_id, text FROM documents) SELECT doc_id, count(DISTINCT h) AS hashes, count(DISTINCT k) AS n_copies FROM (SELECT doc_id, 1 AS k, sha256(substr(text, 1, 256)) AS h FROM c UNION ALL SELECT doc_id, 2, sha256(substr(CASE WHEN doc_id % 3 = 0 THEN 'x' || text ELSE text END, 1, 256)) FROM c WHERE doc_id % 7 <> 0) GROUP BY doc_id HAVING count(DISTINCT h) > 1 OR count(DISTINCT k) < 2")
 def alignment_gate(spark, d):
-    a = fx.table(spark, d, "documents").where(fx.h("align", F.col("doc_id")) % 10 == 0).select("doc_id", "text")
+    a = fx.table(spark, d, "documents").select("doc_id", "text")
     b = a.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x"), "text")).otherwise(F.col("text")))
     return match.alignment({"a": a, "b": b}, "doc_id", "text")
 
@@ -150,9 +149,9 @@ def preamble_strip(spark, d):
     return fx.styled(spark, d).select("doc_id", tx.strip_preamble(F.col("text")).alias("text"))
 
 
-@query(r"SELECT doc_id, substr(translate(coalesce(text, ''), chr(10) || chr(13), '  '), 1, 500) AS text FROM documents")
+@query(r"SELECT doc_id, substr(translate(coalesce(text, ''), chr(10) || chr(13), '  '), 1, 100000) AS text FROM documents")
 def scorer_clean(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", tx.scorer_clean(F.col("text"), 500).alias("text"))
+    return fx.table(spark, d, "documents").select("doc_id", tx.scorer_clean(F.col("text")).alias("text"))
 
 
 @query(rf"WITH {_A} SELECT doc_id, trim(regexp_replace(rewritten, '\s+', ' ', 'g')) = trim(regexp_replace(text, '\s+', ' ', 'g')) AS same FROM pass_a JOIN documents USING (doc_id)")
@@ -161,18 +160,17 @@ def ws_equal(spark, d):
     return both.select("doc_id", (tx.squeezed(F.col("rewritten")) == tx.squeezed(F.col("text"))).alias("same"))
 
 
-@query(f"""WITH {_A}, p AS (SELECT doc_id, rewritten AS a, text AS b, least(length(rewritten), length(text)) AS n FROM pass_a JOIN documents USING (doc_id)), x AS (SELECT doc_id, n, (SELECT min(i) FROM range(0, 40) r(i) WHERE i < n AND substr(a, i + 1, 1) <> substr(b, i + 1, 1)) AS f, a[1:40] = b[1:40] AS long FROM p)
-    SELECT doc_id, f AS at FROM x WHERE f IS NOT NULL""")
+@query(f"""WITH {_A}, p AS (SELECT doc_id, least(length(rewritten), length(text)) AS n, list_position(list_transform(list_zip(string_split(rewritten, ''), string_split(text, ''), true), lambda x: x[1] = x[2]), false) AS f
+    FROM pass_a JOIN documents USING (doc_id)) SELECT doc_id, coalesce(f - 1, n)::BIGINT AS pos FROM p""")
 def first_diff(spark, d):
     both = fx.passes(spark, d, "a").join(fx.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    at = both.select("doc_id", tx.first_difference(F.col("rewritten"), F.col("text")).cast("long").alias("at"), F.least(F.length("rewritten"), F.length("text")).alias("n"))
-    return at.where("at < 40 and at < n").select("doc_id", "at")
+    return both.select("doc_id", tx.first_difference(F.col("rewritten"), F.col("text")).cast("long").alias("pos"))
 
 
 @query()
 def similarity(spark, d):
     both = fx.passes(spark, d, "a").join(fx.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    return both.select("doc_id", F.round(tx.similarity(F.col("rewritten"), F.col("text"), 300), 6).alias("ratio"))
+    return both.select("doc_id", F.round(tx.similarity(F.col("rewritten"), F.col("text")), 6).alias("ratio"))
 
 
 _LOG = r"'iteration: ' || event_id || ' / 9000 | consumed_tokens: ' || (event_id % 977)::VARCHAR || ['', 'K', 'M', 'B', 'T'][(event_id % 5 + 1)::INTEGER] || ' | lr: 1'"
