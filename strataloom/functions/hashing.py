@@ -36,3 +36,15 @@ def set_digest(df: DataFrame, key: str, by: list[str] | None = None, buckets: in
     return parts.groupBy(*by).agg(
         F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__bucket", "d"))), lambda x: x["d"]), ","), 256).alias("digest")
     )
+
+
+def row_digest(df: DataFrame, key: str, text: str, buckets: int = 1024) -> DataFrame:
+    """Digest over `id:hash` lines in the order of ids: ranges of ids have digests over their lines, and the whole one is over those.
+    Ids are dealt to ranges of equal width, so that no task holds all lines."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
+    line = F.concat(F.col(key).cast("string"), F.lit(":"), F.sha2(F.col(text), 256))
+    rows = df.select(F.floor((F.col(key) - F.lit(low or 0)) / width).alias("__range"), F.struct(F.col(key).alias("k"), line.alias("l")).alias("x"))
+    ordered = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["l"])
+    parts = rows.groupBy("__range").agg(F.count("*").alias("n"), F.sha2(F.array_join(ordered("x"), "\n"), 256).alias("l"))
+    return parts.agg(F.sum("n").alias("n"), F.sha2(F.array_join(ordered(F.struct("__range", "l")), "\n"), 256).alias("digest"))
