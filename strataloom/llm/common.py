@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows an Arrow batch may hold, and text bytes that a Python mapper works on at a time.
 BATCH_ROWS = 512
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,18 +26,24 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that the cluster names in spark.checkpoint.dir; set one only where none is named."""
+def checkpointed(df: DataFrame, release: bool = False) -> DataFrame:
+    """Cut lineage in the folder that the cluster names in spark.checkpoint.dir; set one only where none is named. release: let Spark
+    drop the shuffle files behind it at once (it drops those of plans that the driver's garbage collector has found dead)."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    if release:
+        del df
+        gc.collect()
+        spark._jvm.System.gc()
+    return out
 
 
 def buckets(spark: SparkSession) -> int:
-    """Logical buckets of a packed shuffle: some for each shuffle partition, so that they deal out evenly."""
-    return 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Logical buckets of a packed shuffle: one for each shuffle partition."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 # --- Fixed-size filters over keys ---------------------------------------------------------------------------------------------
