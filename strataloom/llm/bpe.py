@@ -148,18 +148,25 @@ def boundaries(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class _Merges(dict):
-    """Ids by piece; a missing piece is merged and kept."""
+    """Ids by piece, in two generations: a piece that the young one lacks comes from the old one, or is merged."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
+        self.old: dict[bytes, tuple[int, ...]] = {}
 
     def __missing__(self, piece: bytes) -> tuple[int, ...]:
-        whole = self.ranks.get(piece)
-        ids = (whole,) if whole is not None else _merge(piece, self.ranks) if len(piece) < 64 else _merge_long(piece, self.ranks)
+        ids = self.old.get(piece)
+        if ids is None:
+            whole = self.ranks.get(piece)
+            ids = (whole,) if whole is not None else _merge(piece, self.ranks) if len(piece) < 64 else _merge_long(piece, self.ranks)
         self[piece] = ids
         return ids
 
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
 
 def _merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -215,9 +222,9 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class Encoder:
-    """Encodes and decodes batches of texts. cache_pieces bounds the merge cache."""
+    """Encodes and decodes batches of texts. cache_pieces bounds each of the merge cache's two generations."""
 
-    def __init__(self, vocabulary: bytes, cache_pieces: int = 200_000):
+    def __init__(self, vocabulary: bytes, cache_pieces: int = 150_000):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
         self.tokens: dict[int, bytes] = {i: t for t, i in self.ranks.items()}
         self.words = {i: str(i) for i in self.tokens}
@@ -237,7 +244,7 @@ class Encoder:
         data = joined.encode()
         cuts = [*at[first].tolist(), len(data)]
         if len(self.merges) > self.cache_pieces:
-            self.merges.clear()
+            self.merges.age()
         ids = list(map(self.merges.__getitem__, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]))
         rows = np.searchsorted(first, np.concatenate([[0], ends])).tolist()
         return [list(chain.from_iterable(ids[a:b])) for a, b in zip(rows, rows[1:], strict=False)]
