@@ -117,16 +117,16 @@ STYLED = f"styled AS (SELECT doc_id, source, [{', '.join(map(_literal, DECORATIO
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long results: setting, seed, epoch, metric, value, from events by user, day and type."""
+    """Long results: setting, seed, epoch, metric, value, from events; values are whole hundredths, the same in any order of summing."""
     e = table(spark, sf_dir, "events")
     rows = e.select(
         F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string")).alias("setting"), (F.col("event_id") % 3).alias("seed"), (F.floor(F.col("event_id") / 3) % 2).alias("epoch"),
         F.concat(F.lit("m"), (F.floor(F.col("event_id") / 6) % 6).cast("string")).alias("metric"), "value",
     )
-    return rows.groupBy("setting", "seed", "epoch", "metric").agg(F.round(F.avg("value"), 4).alias("value"))
+    return rows.groupBy("setting", "seed", "epoch", "metric").agg((F.floor(F.sum(F.floor(F.col("value") * 100)) / F.count("*")) / 100.0).alias("value"))
 
 
-SCORES = """scores AS (SELECT 's' || (user_id % 4) AS setting, event_id % 3 AS seed, event_id // 3 % 2 AS epoch, 'm' || (event_id // 6 % 6) AS metric, round(avg(value), 4) AS value
+SCORES = """scores AS (SELECT 's' || (user_id % 4) AS setting, event_id % 3 AS seed, event_id // 3 % 2 AS epoch, 'm' || (event_id // 6 % 6) AS metric, floor(sum(floor(value * 100)::BIGINT)::DOUBLE / count(*)) / 100.0::DOUBLE AS value
     FROM events GROUP BY ALL)"""
 
 
