@@ -45,9 +45,11 @@ def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", every_di
     rows = rows.select("doc_id", "__refine", (digest if every_digest else F.when(F.col("__refine"), digest)).alias("text_sha256"))
 
     same = rows.where("__refine").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    same = same.where("group_size > 1").withColumnRenamed("text_sha256", "__digest")
+    # The key of the groups is an expression too, so that both sides are shuffled for the join itself: then Spark can split the
+    # partition of a group that holds many copies. It can't be null, or Spark would hash every text to filter nulls before the scan.
+    same = same.where("group_size > 1").select(F.coalesce(F.concat(F.lit("="), "text_sha256"), F.lit("")).alias("__digest"), "keep_id", "group_size")
     # Rows without a digest get a key of their own, which no group has, so that they don't meet in one partition.
-    joined = F.coalesce("text_sha256", F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    joined = F.coalesce(F.concat(F.lit("="), "text_sha256"), F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = rows.join(same, joined == F.col("__digest"), "left")
     out = rows.select(
         "doc_id",
@@ -72,6 +74,7 @@ def _one_kept(rows: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that are copies of a row with a smaller id. Texts of rows that stay are not shuffled, but for the
-    few that the key filter takes for dropped ones. Rows that repeat an id and a text all stay or all go, as do null ids."""
+    few that the key filter takes for dropped ones. Ids name rows here: rows that repeat an id stay or go together, and rows without
+    an id stay."""
     drops = decisions(docs, key, text).where("not kept and not doc_id <=> keep_id").select(F.col("doc_id").alias(key))
     return keep_rows(docs, key, drops)
