@@ -167,6 +167,10 @@ class _Merges(dict):
         self.old = dict(self)
         self.clear()
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
 
 def _merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -300,6 +304,7 @@ def encode(docs: DataFrame, vocabulary: bytes, text: str = "text", ids: str = "i
                 if ends:
                     more.append(pa.array([own.byte_ends(r).tolist() for r in rows], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *more], [*batch.schema.names, *names])
+        own.merges.forget()  # a worker that waits for its next task holds no cache
 
     return docs.mapInArrow(run, schema)
 
@@ -344,5 +349,6 @@ def digests(docs: DataFrame, vocabulary: bytes, key: str = "doc_id", text: str =
                     pa.array([sha(own.decode(r)).hexdigest() for r in rows], pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(a, b - a), *columns], schema.names)
+        own.merges.forget()
 
     return docs.mapInArrow(run, schema)

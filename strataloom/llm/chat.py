@@ -101,6 +101,7 @@ def _assembled(batches: Iterator, template: Template) -> Iterator:
         roles, texts = ([x or "" for x in batch.column(c).to_pylist()] for c in ("role", "text"))
         for a, b in chunks(np.fromiter(map(len, texts), np.int64, len(texts))):
             yield batch.slice(a, b - a), template.assemble(roles[a:b], texts[a:b])
+    template.encoder.merges.forget()
 
 
 def digests(turns: DataFrame, vocabulary: bytes) -> DataFrame:
