@@ -436,3 +436,18 @@ def test_pipeline(spark, vocabulary):
     texts = dict(left)
     assert all(r.ids == known.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.ids) for r in rows)
     assert [n for n, _ in corpus_pipeline.STAGES] and all(f(spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA).columns == ["doc_id", "text", "lang", "source", "n_chars"] for _, f in corpus_pipeline.STAGES[:-1])
+
+
+def test_pipeline_edges(spark, docs):
+    import corpus_pipeline
+
+    for start in (docs, docs.limit(0)):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, now, DATA)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert after.columns == start.columns, name
+            now = spark.createDataFrame(after.collect(), after.schema)
+        ids = [r.doc_id for r in now.collect() if r.doc_id is not None]
+        assert len(ids) == len(set(ids)) or start is docs
+        assert bool(ids) == (start is docs)
