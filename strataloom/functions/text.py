@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -112,13 +113,68 @@ def first_difference(a: Column, b: Column, rounds: int = 31) -> Column:
     return F.aggregate(bits, zero, halve, lambda s: s["lo"])
 
 
+#: Products of lengths up to which difflib itself is the faster way to match two texts.
+SMALL = 1 << 14
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _longest(a: str, b: str) -> tuple[int, int, int] | None:
+    """The longest common substring (start in a, start in b, length), the first in a and then in b: a bisection over its length,
+    on hashes of windows. None where hashes collide."""
+    n = max(len(a), len(b))
+    steps = np.ones((2, n), np.uint64)
+    steps[0, 1:], steps[1, 1:] = _BASE, _INVERSE
+    power, inverse = np.multiply.accumulate(steps, axis=1)
+    sums = []
+    for x in (a, b):
+        sums.append(np.zeros(len(x) + 1, np.uint64))
+        np.cumsum((np.frombuffer(x.encode("utf-32-le"), "<u4") + np.uint64(1)) * power[: len(x)], out=sums[-1][1:])
+    windows = lambda s, size: (s[size:] - s[:-size]) * inverse[: len(s) - size]
+    low, high, found = 0, min(len(a), len(b)), None
+    while low < high:
+        size = (low + high + 1) // 2
+        left, right = windows(sums[0], size), windows(sums[1], size)
+        hit = np.isin(left, right)
+        if hit.any():
+            low, found = size, (left, right, hit)
+        else:
+            high = size - 1
+    if not found:
+        return 0, 0, 0
+    left, right, hit = found
+    i = int(hit.argmax())
+    j = int((right == left[i]).argmax())
+    return (i, j, low) if a[i : i + low] == b[j : j + low] else None
+
+
+def matching_chars(a: str, b: str) -> int:
+    """Characters in the matching blocks of SequenceMatcher(None, a, b, autojunk=False), whose time grows with the square of the lengths."""
+    from difflib import SequenceMatcher
+
+    total, todo = 0, [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        if x in y or y in x:
+            total += min(len(x), len(y))
+            continue
+        best = _longest(x, y) if len(x) * len(y) > SMALL else None
+        if best is None:
+            total += sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+        elif best[2]:
+            i, j, size = best
+            total += size
+            todo += [(x[:i], y[:j]), (x[i + size :], y[j + size :])]
+    return total
+
+
 def similarity(a: Column, b: Column, most: int = 3000) -> Column:
-    """Ratcliff-Obershelp ratio of two texts' first characters (no built-in says the same, so a vectorised Python function does)."""
+    """Ratcliff-Obershelp ratio of two texts' first characters, no character left out as popular (no built-in says the same, so a
+    vectorised Python function does)."""
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([SequenceMatcher(None, p or "", q or "", autojunk=True).ratio() for p, q in zip(x, y, strict=True)])
+        pairs = [(p or "", q or "") for p, q in zip(x, y, strict=True)]
+        return pd.Series([2.0 * matching_chars(p, q) / (len(p) + len(q)) if p or q else 1.0 for p, q in pairs])
 
     return ratio(F.substring(a, 1, most), F.substring(b, 1, most))
 

@@ -1,6 +1,7 @@
 """Golden cases, edge rows and invariants of the corpus operators."""
 
 import math
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -152,6 +153,22 @@ def test_text_functions(spark):
     assert [r.x for r in loops.select(tx.repeats(F.col("t")).alias("x")).collect()] == [True, False, False, False]
 
 
+def test_similarity_of_long_texts(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(1, 8))) for _ in range(60)]
+    prose = [" ".join(rng.choices(words, k=n)) for n in (50, 200, 700)]
+    pairs = [(f"Here is a condensed version:\n\n{t}", t) for t in prose]
+    pairs += [(t, " ".join(w for w in t.split() if rng.random() > share)) for t in prose for share in (0.05, 0.4)]
+    pairs += [(prose[1], prose[2]), ("ab" * 400, "ba" * 300 + "c"), ("é😀" * 150, "x" + "😀é" * 150), ("a" * 900, "b" * 900), (prose[1], ""), (None, prose[1]), (None, None)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = [r.r for r in df.select("i", tx.similarity(F.col("a"), F.col("b")).alias("r")).orderBy("i").collect()]
+    want = [SequenceMatcher(None, (a or "")[:3000], (b or "")[:3000], autojunk=False).ratio() for a, b in pairs]
+    assert got == want
+    for _ in range(300):  # ties: few letters, many equal longest matches
+        a, b = ("".join(rng.choices("abc", k=rng.randint(130, 400))) for _ in range(2))
+        assert tx.matching_chars(a, b) == sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
 def test_format(spark):
     row = spark.range(1).select(*[sc.human(F.lit(float(x))).alias(f"h{x}") for x in (999, 1234, 1500000)], sc.signed(F.lit(-0.001)).alias("z")).first()
     assert list(row) == ["999", "1.23K", "1.5M", "+0.00"]
