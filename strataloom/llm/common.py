@@ -84,6 +84,21 @@ def keep_rows(df: DataFrame, key: str, drops: DataFrame, bits: int = FILTER_BITS
     return sure.unionByName(rest.select(*[F.col(f"`{c}`") for c in spark_columns]))
 
 
+def keep_decided(df: DataFrame, key: str, digest: Column, marks: DataFrame) -> DataFrame:
+    """df without the rows whose key and digest are among the marks (doc_id, digest, once); of those marked once, one row stays: the
+    first by its JSON. Null keys are keys like others. Only rows whose key may be among the marks are digested and shuffled."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    marks = checkpointed(marks.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__mark"), "once").distinct())
+    flagged = maybe_in(df, F.col(f"`{key}`"), key_filter(marks, "__id"), "__maybe")
+    sure = flagged.where(~F.col("__maybe")).select(*columns)
+    rest = flagged.where("__maybe").withColumn("__digest", digest)
+    same = F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__mark"))
+    stay = rest.join(marks, same, "left_anti").select(*columns)
+    once = rest.join(marks.where("once"), same, "left_semi").groupBy(F.col(f"`{key}`").alias("__id"), "__digest")
+    one = once.agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias("__row")).select("__row.*")
+    return sure.unionByName(stay).unionByName(one)
+
+
 # --- Texts in numpy -----------------------------------------------------------------------------------------------------------
 def chunks(sizes: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes sum to about `most`; a larger row has a range of its own."""

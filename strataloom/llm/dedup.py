@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_filter, keep_rows, maybe_in
+from .common import keep_decided, key_filter, maybe_in
 
 PREFIX_CHARS = 64
 
@@ -73,8 +73,9 @@ def _one_kept(rows: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that are copies of a row with a smaller id. Texts of rows that stay are not shuffled, but for the
-    few that the key filter takes for dropped ones. Ids name rows here: rows that repeat an id stay or go together, and rows without
-    an id stay."""
-    drops = decisions(docs, key, text).where("not kept and not doc_id <=> keep_id").select(F.col("doc_id").alias(key))
-    return keep_rows(docs, key, drops)
+    """docs without the rows that decisions() does not keep: one row of each group of equal texts stays. Rows are told by id and
+    digest, so that a row stays whose id occurs on a dropped copy too. Texts of rows that stay are not shuffled, but for the few that
+    the key filter takes for dropped ones."""
+    once = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("once")
+    marks = decisions(docs, key, text).where("not kept").select("doc_id", F.col("text_sha256").alias("digest"), once)
+    return keep_decided(docs, key, F.sha2(normalised(F.col(f"`{text}`")), 256), marks)

@@ -131,6 +131,20 @@ def test_dedup(spark, docs):
     assert dedup.decisions(docs.limit(0)).count() == 0 and dedup.dedup(docs).columns == docs.columns
 
 
+REPEATS = [(1, "one row twice here and now"), (1, "one row  twice here and now"), (1, "one row twice here and now"), (2, "one row twice here and now"), (2, "a text whose id a copy has"), (None, "no id at all in these"),
+           (None, "no id at all in these"), (None, "one row twice here and now"), (3, ""), (3, ""), (None, None)]
+
+
+def test_dedup_drops_what_is_not_kept(spark, docs):
+    rows = spark.createDataFrame(REPEATS, "doc_id long, text string")
+    want = [(1, "one row twice here and now"), (2, "a text whose id a copy has"), (3, ""), (None, "no id at all in these")]
+    plain = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    assert sorted(((r.doc_id, plain(r.text)) for r in dedup.dedup(rows).collect()), key=str) == sorted(want, key=str)
+    for some in (rows, docs):
+        kept = sorted(str(r.doc_id) for r in dedup.decisions(some).where("kept").collect())
+        assert sorted(str(r.doc_id) for r in dedup.dedup(some).collect()) == kept
+
+
 # --- 3 -------------------------------------------------------------------------------------------------------------------------------
 def brute_components(rows):
     sets = []
@@ -162,6 +176,20 @@ def test_jaccard_components(spark, docs, few):
     assert got == want
 
 
+def test_jaccard_dedup_keeps_a_row_of_each_component(spark, docs):
+    far = [(2, "a text whose id a dropped copy has"), (None, "no id at all in these"), (None, "no id at all in these")]
+    near = [(1, "n o p q r s t u v w x y z a b c d e f g"), (1, "n o p q r s t u v w x y z a b c d e f h"), (2, "n o p q r s t u v w x y z a b c d e f g"), (3, ""), (3, "")]
+    got = jaccard.dedup(spark.createDataFrame(far + near, "doc_id long, text string")).collect()
+    want = [far[0], far[1], (3, ""), (3, "")]
+    assert sorted((tuple(r) for r in got if not r.text.startswith("n o p")), key=str) == sorted(want, key=str)
+    assert [r.doc_id for r in got if r.text.startswith("n o p")] == [1]
+    left = jaccard.dedup(docs).collect()
+    again = jaccard.join(spark.createDataFrame(left, docs.schema).withColumn("doc_id", F.monotonically_increasing_id())).where("n_shingles > 0").collect()
+    before = jaccard.join(docs.withColumn("doc_id", F.monotonically_increasing_id())).collect()
+    assert len({r.component_id for r in again}) == len(again) == len({r.component_id for r in before if r.n_shingles})
+    assert len(left) - len(again) == sum(not r.n_shingles for r in before)
+
+
 def test_jaccard_signatures_miss_nothing():
     import numpy as np
 
