@@ -327,11 +327,12 @@ def decode(encoded: DataFrame, vocabulary: bytes, ids: str = "ids", out: str = "
 
 
 def digests(docs: DataFrame, vocabulary: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode each text, decode the ids, and return (key, n_tokens, ids_sha256, decoded_sha256), without sending the ids through
-    the JVM."""
+    """Encode each text, decode the ids, and return (key, n_tokens, ids_sha256, ends_sha256, decoded_sha256), without sending the ids
+    through the JVM. ends_sha256 is that of the token byte ends as little-endian 64-bit integers; what is decoded between them must be the
+    text's bytes."""
     small_batches(docs.sparkSession)
     docs = docs.select(key, text)
-    kinds = (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))
+    kinds = (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("ends_sha256", T.StringType()), ("decoded_sha256", T.StringType()))
     schema = T.StructType([docs.schema[key], *(T.StructField(*x) for x in kinds)])
 
     def run(batches: Iterator) -> Iterator:
@@ -343,10 +344,16 @@ def digests(docs: DataFrame, vocabulary: bytes, key: str = "doc_id", text: str =
             texts, sizes = _texts(batch, text)
             for a, b in chunks(sizes):
                 rows = own.encode(texts[a:b])
+                ends = [own.byte_ends(r) for r in rows]
+                decoded = [own.decode(r) for r in rows]
+                for whole, at, t in zip(decoded, ends, texts[a:b], strict=True):
+                    if whole != t.encode() or (at[-1] if len(at) else 0) != len(whole):
+                        raise ValueError("ids or byte ends don't decode to the text")
                 columns = [
                     pa.array(map(len, rows), pa.int64()),
                     pa.array([sha(",".join(map(own.words.__getitem__, r)).encode()).hexdigest() for r in rows], pa.string()),
-                    pa.array([sha(own.decode(r)).hexdigest() for r in rows], pa.string()),
+                    pa.array([sha(x.astype("<i8").tobytes()).hexdigest() for x in ends], pa.string()),
+                    pa.array([sha(x).hexdigest() for x in decoded], pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(a, b - a), *columns], schema.names)
         own.merges.forget()

@@ -89,6 +89,17 @@ def test_bpe_is_the_library(spark, docs, vocabulary):
     assert sorted((str(r.doc_id), r.n_tokens, r.decoded_sha256) for r in rows) == want
 
 
+def test_bpe_digests_hold_byte_ends(spark, docs, vocabulary):
+    known, want = reference(vocabulary), []
+    for r in docs.collect():
+        ends, at = [], 0
+        for token in known.decode_tokens_bytes(known.encode_ordinary(r.text or "")):
+            at += len(token)
+            ends.append(at)
+        want.append((str(r.doc_id), hashlib.sha256(b"".join(e.to_bytes(8, "little") for e in ends)).hexdigest()))
+    assert sorted((str(r.doc_id), r.ends_sha256) for r in bpe.digests(docs, vocabulary).collect()) == sorted(want)
+
+
 def test_bpe_odd_texts(vocabulary):
     own, known, rng = bpe.Encoder(vocabulary, cache_pieces=50), reference(vocabulary), random.Random(5)
     alphabet = "aabZ'''stmdrevl09  \n\t.!é½\u00a0\u2003中𝒳٣\x1c\x85İ"
