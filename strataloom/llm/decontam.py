@@ -7,8 +7,8 @@ whole text; hits of an item on nearby diagonals make one window, which Myers' bi
 Texts and items are compared lower-cased, with white space runs as one space. Items are read in blocks of at most BLOCK_CHARS
 characters; the automaton of one block is what a task holds. Several blocks are several passes over the texts.
 
-Defined results: null or empty texts and items match nothing, nor do items of fewer than MIN_CHARS characters, which say too
-little to tell a leak. Items with null ids or repeated ids are reported under the id they have. Rows repeat freely.
+Defined results: null or empty texts and items match nothing. Items of fewer than MIN_CHARS characters are left out unless `short`
+asks for them (the query and the pipeline do): then they match exactly, and not within a longer word. Items with null ids or repeated ids are reported under the id they have. Rows repeat freely.
 """
 
 from __future__ import annotations
@@ -62,16 +62,31 @@ def closest(pattern: str, text: str) -> tuple[int, int, int]:
     return best, end - 1 - back.index(best) if best in back else end, end
 
 
+# Blocks of scripts that put no spaces between words (Thai, Lao, Myanmar, Khmer, Han, kana).
+UNSPACED = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+
+
+def _joins(c: str) -> bool:
+    """Whether a character makes one word with a neighbour that does."""
+    return (c.isalnum() or c == "_") and not any(a <= ord(c) <= b for a, b in UNSPACED)
+
+
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] begins and ends at word boundaries."""
+    return all(not (0 < at < len(text) and _joins(text[at - 1]) and _joins(text[at])) for at in (start, end))
+
+
 class Matcher:
-    """Pieces of a block of items. items: (index in the block, normalised text)."""
+    """Pieces of a block of items. items: (index in the block, normalised text). short: search items under min_chars too, exactly."""
 
-    def __init__(self, items: list[str], error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS):
+    def __init__(self, items: list[str], error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, short: bool = False):
         import ahocorasick
 
-        self.items, self.budget = items, [int(len(t) * error_rate) for t in items]
+        self.items, self.min_chars = items, min_chars
+        self.budget = [int(len(t) * error_rate) if len(t) >= min_chars else 0 for t in items]
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, text in enumerate(items):
-            if len(text) >= max(1, min_chars):
+            if len(text) >= max(1, 0 if short else min_chars):
                 cuts = [k * len(text) // (self.budget[i] + 1) for k in range(self.budget[i] + 2)]
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     pieces[text[a:b]].append((i, a))
@@ -93,6 +108,9 @@ class Matcher:
         found = []
         for i, starts in sorted(diagonals.items()):
             item, budget = self.items[i], self.budget[i]
+            if len(item) < self.min_chars:
+                found += [(i, 0, a, a + len(item)) for a in starts if whole_words(text, a, a + len(item))][:1]
+                continue
             best = None
             k = 0
             while k < len(starts):
@@ -123,7 +141,7 @@ def blocks(items: DataFrame, key: str, text: str, most: int = BLOCK_CHARS) -> It
         yield block
 
 
-def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", short: bool = False) -> DataFrame:
     """A row for each text and item it holds: (doc_id, item_id, distance, start_at, end_at), in characters of the normalised text."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -131,13 +149,13 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     out = docs.sparkSession.createDataFrame([], schema)
     several = blocks(items, item_key, item_text)
     for n, block in enumerate(several):
-        found = docs.mapInArrow(_finder(docs, block, schema), schema)
+        found = docs.mapInArrow(_finder(docs, block, schema, short), schema)
         # blocks beyond the first are run one by one, so that one automaton is held at a time
         out = found if not n else out.unionByName(checkpointed(found))
     return out
 
 
-def _finder(docs: DataFrame, block: list[tuple], schema: T.StructType):
+def _finder(docs: DataFrame, block: list[tuple], schema: T.StructType, short: bool):
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator) -> Iterator:
@@ -145,7 +163,7 @@ def _finder(docs: DataFrame, block: list[tuple], schema: T.StructType):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = to_arrow_schema(schema)
-        ids, matcher = [x for x, _ in shared.value], Matcher([t for _, t in shared.value])
+        ids, matcher = [x for x, _ in shared.value], Matcher([t for _, t in shared.value], short=short)
         for batch in batches:
             rows = [(i, *hit) for i, t in enumerate(batch.column("text").to_pylist()) for hit in matcher.find(normalised(t))]
             at = batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
@@ -155,21 +173,21 @@ def _finder(docs: DataFrame, block: list[tuple], schema: T.StructType):
     return run
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", short: bool = False) -> DataFrame:
     """docs without the rows that hold a passage of an item. Narrow: one pass for each block of items, no shuffle."""
     small_batches(docs.sparkSession)
     for block in blocks(items, item_key, item_text):
-        docs = docs.mapInArrow(_filter(docs, block, text), docs.schema)
+        docs = docs.mapInArrow(_filter(docs, block, text, short), docs.schema)
     return docs
 
 
-def _filter(docs: DataFrame, block: list[tuple], text: str):
+def _filter(docs: DataFrame, block: list[tuple], text: str, short: bool):
     shared = docs.sparkSession.sparkContext.broadcast([t for _, t in block])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        matcher = Matcher(shared.value)
+        matcher = Matcher(shared.value, short=short)
         for batch in batches:
             yield batch.filter(pa.array([not matcher.find(normalised(t)) for t in batch.column(text).to_pylist()], pa.bool_()))
 

@@ -299,6 +299,19 @@ def test_decontamination(spark):
     assert [len(b) for b in decontam.blocks(table, "item_id", "text", most=200)] != [11]
 
 
+def test_decontamination_of_short_items(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = ["The  Cat sat down", "concatenate", "a cat, asleep", "cat", "cats", None, "", "ab 北京大学 cd", "x is 2+2=4", "x is 12+2=4", "dog cat_dog", "concat but then a cat"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.createDataFrame([(1, " CAT "), (2, "京大"), (3, "2+2=4"), (4, ""), (5, None), (6, "nineteen characters")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.unionByName(spark.createDataFrame([(20, "so nineteen characters it is"), (21, "so nineteen charakters it is")], docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(0, 1, 0, 4, 7), (2, 1, 0, 2, 5), (3, 1, 0, 0, 3), (7, 2, 0, 4, 6), (8, 3, 0, 5, 10), (11, 1, 0, 18, 21), (20, 6, 0, 3, 22)}
+    assert {tuple(r) for r in queries.op5_decontamination(spark, str(tmp_path)).collect()} == want
+    left = corpus_pipeline.leaks(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert {r.doc_id for r in left} == {*range(12), 20, 21} - {i for i, *_ in want}
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------------------------------
 def test_language_model(spark, docs):
     held = langid.held_out(parts=10, part=0)
