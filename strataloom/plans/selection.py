@@ -28,6 +28,11 @@ def scan_project(spark, d):
     return io.read_parquet(spark, f"{d}/documents.parquet", ["doc_id", "lang", "n_chars"]).where("lang = 'en' and n_chars > 500")
 
 
+@query()
+def jsonl_roundtrip(spark, d):
+    return io.jsonl_roundtrip(fx.table(spark, d, "documents"))
+
+
 @query(f"""WITH a AS (SELECT 'docs' AS dataset, doc_id AS id, row_number() OVER (ORDER BY doc_id) AS n, count(*) OVER () AS t FROM documents),
     b AS (SELECT 'convs' AS dataset, conv_id AS id, row_number() OVER (ORDER BY conv_id) AS n, count(*) OVER () AS t FROM (SELECT DISTINCT conv_id FROM conversations)),
     u AS (SELECT dataset, id FROM a WHERE n <= floor(0.25 * t) UNION ALL SELECT dataset, id FROM b WHERE n <= floor(0.5 * t))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,16 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT,
     return (reader.option("pathGlobFilter", glob) if glob else reader).json(path)
 
 
+def jsonl_roundtrip(df: DataFrame) -> DataFrame:
+    """df as read back from JSONL, which is written to a new folder beside the checkpoints (in spark.checkpoint.dir, set if none is named)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{context.getCheckpointDir()}/jsonl-{uuid.uuid4()}"
+    df.write.json(path)
+    return read_jsonl(df.sparkSession, path, df.schema)
+
+
 def read_results(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """A tree of results.json files as a long table (path, setting, seed, epoch, step, task, metric, value). Files of another schema
     tag are skipped; `matches_path` tells whether a file says what its path does, `complete` what it says of itself."""

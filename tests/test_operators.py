@@ -12,6 +12,7 @@ from strataloom.functions import scores as sc
 from strataloom.functions import text as tx
 from strataloom.operators import blend, distribution, domains, match, paired, prefix, rank, samplers, sets, verify
 from strataloom.operators import tokens as tk
+from strataloom.plans import catalogue
 from strataloom.sources import io
 
 
@@ -206,6 +207,15 @@ def test_exclusive_concat(spark):
     assert sets.concat_exclusive({"a": a, "b": spark.range(3, 5)}, "id").count() == 5
 
 
+def test_jsonl_roundtrip_is_registered(spark, tmp_path):
+    odd = [(1, 'a "b"\r\n\u2028\\ é😀\t', 0.1), (1, None, None), (None, "", float("nan"))]
+    docs = spark.createDataFrame(odd * 2, "doc_id long, text string, x double")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (str(tmp_path), "/root/testdata/sf0.001"):
+        want, got = spark.read.parquet(f"{folder}/documents.parquet"), catalogue.queries()["jsonl_roundtrip"](spark, folder)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_round_trips(spark, tmp_path):
     docs = spark.createDataFrame([("a", "x\ny", "{}"), ("b", None, None)], io.DOCUMENT)
     docs.write.json(str(tmp_path / "j"))
