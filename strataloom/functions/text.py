@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -76,23 +78,37 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(spaced, " "), "")).cast("long")
 
 
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^A-Za-z0-9_]+"), lambda w: w != "")
+
+
 def word_set(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^A-Za-z0-9_]+"), lambda w: w != ""))
+    return F.array_distinct(words(text))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use mentions it: array functions don't share equal subexpressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def copies_input(source: Column, output: Column, share: float = 0.9) -> Column:
     """Whether more than a share of the output's words are words of the source."""
-    own = word_set(output)
-    return F.when(F.size(own) > 0, F.size(F.array_intersect(own, word_set(source))) / F.size(own) > share).otherwise(False)
+    hashes = lambda x: F.array_distinct(F.transform(words(x), lambda w: F.xxhash64(w)))  # noqa: E731  sets of longs need no comparison of strings
+    part = lambda own: F.when(F.size(own) > 0, F.size(F.array_intersect(own, hashes(source))) / F.size(own) > share).otherwise(False)
+    return bound(hashes(output), part)
 
 
 def repeats(text: Column, window: int = 50, stride: int = 10, times: int = 5) -> Column:
     """Whether any window at a multiple of the stride occurs so many times. One pass of a pattern that looks ahead takes all windows;
-    sorted, equal ones are neighbours, so a window and the one times - 1 places on tell."""
-    windows = F.sort_array(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{window}}})).{{{stride}}}"), F.lit(1)))
-    size = F.size(windows)
-    pairs = F.arrays_zip(F.slice(windows, F.lit(1), F.greatest(size - times + 1, F.lit(0))).alias("a"), F.slice(windows, F.lit(times), F.greatest(size - times + 1, F.lit(0))).alias("b"))
-    return F.coalesce(F.exists(pairs, lambda p: p["a"] == p["b"]), F.lit(False))
+    as sorted 64-bit hashes, equal ones are neighbours, so a window and the one times - 1 places on tell."""
+    windows = F.sort_array(F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{window}}})).{{{stride}}}"), F.lit(1)), lambda w: F.xxhash64(w)))
+
+    def repeated(w: Column) -> Column:
+        most = F.greatest(F.size(w) - times + 1, F.lit(0))
+        pairs = F.arrays_zip(F.slice(w, F.lit(1), most).alias("a"), F.slice(w, F.lit(times), most).alias("b"))
+        return F.exists(pairs, lambda p: p["a"] == p["b"])
+
+    return F.coalesce(bound(windows, repeated), F.lit(False))
 
 
 def too_short(out_tokens: Column, in_tokens: Column) -> Column:

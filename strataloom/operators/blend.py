@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -79,7 +79,7 @@ def largest_remainder(spark: SparkSession, weights: Sequence[float], lengths: Se
     """(pos, ds, ds_sample): each dataset has its rounded share (largest remainders up), positions are in hash order, and a dataset's
     samples run on along them, wrapping at its length."""
     from ..functions.hashing import priority
-    from .prefix import running_sum
+    from .prefix import numbered
 
     exact = [w * n for w in normalised(weights)]
     counts = [int(x) for x in exact]
@@ -87,9 +87,9 @@ def largest_remainder(spark: SparkSession, weights: Sequence[float], lengths: Se
         counts[d] += 1
     table = spark.createDataFrame([(d, c, lengths[d]) for d, c in enumerate(counts) if c], "ds int, c long, length long")
     rows = table.select("ds", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("k"))
-    rows = rows.withColumns({"__tie": priority("blend", F.col("ds"), F.col("k"), seed=seed), "__score": F.lit(0.0), "__one": F.lit(1)})
-    placed = running_sum(running_sum(rows, "__score", "__tie", "__one", "__pos"), "__score", "__tie", "__one", "__nth", ["ds"])
-    return placed.select((F.col("__pos") - 1).alias("pos"), "ds", ((F.col("__nth") - 1) % F.col("length")).alias("ds_sample"))
+    rows = rows.withColumn("__tie", priority("blend", F.col("ds"), F.col("k"), seed=seed))
+    placed = numbered(numbered(rows, "__tie", "pos"), "__tie", "__nth", ["ds"])
+    return placed.select("pos", "ds", (F.col("__nth") % F.col("length")).alias("ds_sample"))
 
 
 def stage_offset(blend: DataFrame, consumed: DataFrame, seq_len: int) -> DataFrame:
@@ -119,6 +119,3 @@ def capacity(needed: DataFrame, available: DataFrame) -> DataFrame:
     both = needed.join(available, "ds", "left")
     return both.withColumn("enough", F.coalesce(F.col("available") >= F.col("needed"), F.lit(False)))
 
-
-def random_window(df: DataFrame, by: str, order: str) -> Window:
-    return Window.partitionBy(by).orderBy(order)

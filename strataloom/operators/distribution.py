@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rank import percentiles_by
+
 
 def strata_share(df: DataFrame, stratum: str, weight: str, strata: DataFrame | None = None) -> DataFrame:
     """Documents, tokens and their shares by stratum; strata that have no row are 0 if a table of all is given."""
@@ -32,15 +34,16 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def percentiles(df: DataFrame, value: str, at: Sequence[float]) -> DataFrame:
     """(p, value) by linear interpolation, with mean and population standard deviation."""
-    row = df.agg(F.percentile(value, list(at)).alias("v"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    return row.select(F.explode(F.arrays_zip(F.lit(list(at)).alias("p"), F.col("v"))).alias("x"), "mean", "std").select("x.p", F.col("x.v").alias("value"), "mean", "std")
+    found = percentiles_by(df, value, at).select(F.explode(F.arrays_zip(F.lit(list(at)).alias("p"), F.col("p").alias("v"))).alias("x"))
+    return found.select("x.p", F.col("x.v").alias("value"), df.agg(F.avg(value)).scalar().alias("mean"), df.agg(F.stddev_pop(value)).scalar().alias("std"))
 
 
-def floor_quantile(ordered: DataFrame, position: str, value: str, at: Sequence[float], n: int) -> DataFrame:
+def floor_quantile(ordered: DataFrame, position: str, value: str, at: Sequence[float]) -> DataFrame:
     """Order statistics at floor(x (n - 1)), from a table that has each row's 1-based position."""
-    wanted = {int(x * (n - 1)) + 1: x for x in at}
-    table = F.create_map(*[v for k, x in wanted.items() for v in (F.lit(k), F.lit(x))])
-    return ordered.where(F.col(position).isin(list(wanted))).select(table[F.col(position).cast("int")].alias("x"), value)
+    n = ordered.agg(F.count("*")).scalar()
+    points = ordered.sparkSession.createDataFrame([(float(x),) for x in at], "x double")
+    wanted = points.withColumn("__at", F.floor(F.col("x") * (n - 1)) + 1)
+    return ordered.join(F.broadcast(wanted), F.col(position) == F.col("__at")).select("x", value)  # a row a quantile
 
 
 def multiplicity(df: DataFrame, key: str) -> DataFrame:
@@ -92,4 +95,8 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame, group: str, values: Sequence[str]) -> DataFrame:
     """Means, least values and medians by group."""
-    return df.groupBy(group).agg(F.count("*").alias("docs"), *[f(v).alias(f"{n}_{v}") for v in values for n, f in (("mean", F.avg), ("min", F.min), ("median", lambda v: F.percentile(v, 0.5)))])
+    out = df.groupBy(group).agg(F.count("*").alias("docs"), *[f(v).alias(f"{n}_{v}") for v in values for n, f in (("mean", F.avg), ("min", F.min))])
+    for v in values:
+        median = percentiles_by(df, v, [0.5], [group]).select(F.col(group).alias("__group"), F.get("p", F.lit(0)).alias(f"median_{v}"))
+        out = out.join(median, F.col(group).eqNullSafe(F.col("__group")), "left").drop("__group")
+    return out

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import prefix_key
-from .prefix import running_sum
+from .prefix import numbered
+from .rank import dense_code as codes_of
 
 
 class Unmatched(ValueError):
@@ -53,9 +54,7 @@ def repeated_prefixes(df: DataFrame, key: str, text: str, length: int) -> DataFr
 def remove_renumber(df: DataFrame, key: str, removed: DataFrame, shard_rows: int, out: str = "new_id") -> DataFrame:
     """Anti join, then dense 0-based ids in the order of the key, and shards of so many rows. The dense id is a scalable prefix sum."""
     kept = df.join(removed.select(key), key, "left_anti")
-    kept = kept.withColumns({"__score": -F.col(key).cast("double"), "__tie": F.lit(0).cast("long"), "__one": F.lit(1)})
-    numbered = running_sum(kept, "__score", "__tie", "__one", "__n").withColumn(out, F.col("__n") - 1)
-    return numbered.withColumn("shard", F.floor(F.col(out) / shard_rows)).drop("__score", "__tie", "__one", "__n")
+    return numbered(kept, key, out).withColumn("shard", F.floor(F.col(out) / shard_rows))
 
 
 def pair_passes(first: DataFrame, second: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -117,9 +116,8 @@ def pivot_prompts(df: DataFrame, key: str, prompt: str, value: str, prompts: Seq
 
 
 def dense_code(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Codes 0.. of a sorted vocabulary, which is one small row a value."""
-    codes = df.select(value).distinct().withColumn(out, F.dense_rank().over(Window.orderBy(value)) - 1)
-    return df.join(codes, value)
+    """Codes 0.. of the sorted vocabulary; rows with a null value go."""
+    return df.join(codes_of(df, value, out), value)
 
 
 def config_differences(a: DataFrame, b: DataFrame, allowed: Sequence[str]) -> DataFrame:
@@ -139,6 +137,3 @@ def flatten_config(config: dict, prefix: str = "") -> dict[str, str]:
             out[name] = str(value)
     return out
 
-
-def null_safe_ratio(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / b).otherwise(0.0)

@@ -31,15 +31,15 @@ def cyclic(spark: SparkSession, total: int, consumed: int, micro: int, ranks: in
 
 def random_buckets(spark: SparkSession, total: int, consumed: int, micro: int, ranks: int, seed: int = 42) -> DataFrame:
     """As cyclic(), but each rank reads its chunk in a hash order of (epoch, sample)."""
-    from .prefix import running_sum
+    from .prefix import numbered
 
     active = total - total % (micro * ranks)
     epoch, done = consumed // active, consumed % active
     chunk, start = active // ranks, done // ranks
     rows = spark.range(active).select(F.lit(epoch).alias("epoch"), F.col("id").alias("sample"), F.floor(F.col("id") / chunk).alias("rank"))
-    rows = rows.withColumns({"__tie": priority("sampler", F.col("epoch"), F.col("sample"), seed=seed), "__score": F.lit(0.0), "__one": F.lit(1)})
-    placed = running_sum(rows, "__score", "__tie", "__one", "__n", ["rank"])
-    return placed.where(F.col("__n") > start).select("epoch", "sample", "rank", F.floor((F.col("__n") - 1 - start) / micro).alias("micro_batch"))
+    rows = rows.withColumn("__tie", priority("sampler", F.col("epoch"), F.col("sample"), seed=seed))
+    placed = numbered(rows, "__tie", "__n", ["rank"])
+    return placed.where(F.col("__n") >= start).select("epoch", "sample", "rank", F.floor((F.col("__n") - start) / micro).alias("micro_batch"))
 
 
 def strided(spark: SparkSession, total: int, ranks: int, wrap: bool = False) -> DataFrame:

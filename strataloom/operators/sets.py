@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rank import percentiles_by
+
 
 def exclude(df: DataFrame, key: str, *others: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.join(b.select(key), key, "left_anti"), others, df)
@@ -80,4 +82,5 @@ def concat_exclusive(parts: dict[str, DataFrame], key: str, tag: str = "source")
 
 def contrast(df: DataFrame, flag: str, value: str, percentiles: Sequence[float]) -> DataFrame:
     """Percentiles of a value for selected and rejected rows."""
-    return df.groupBy(flag).agg(F.count("*").alias("n"), *[F.percentile(value, p).alias(f"p{int(p * 100)}") for p in percentiles])
+    found = percentiles_by(df, value, percentiles, [flag])
+    return found.select(flag, "n", *[F.get("p", F.lit(i)).alias(f"p{int(p * 100)}") for i, p in enumerate(percentiles)])

@@ -9,10 +9,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import running_sum
+from .prefix import numbered, running_sum, total
 
 EOS = 2
 
@@ -29,9 +29,9 @@ def stand_in_ids(text: Column, vocabulary: int = 32000) -> Column:
 
 def offsets(df: DataFrame, key: str, length: Column, group: str | None = None) -> DataFrame:
     """Add start and len of each document in its file's stream (or in the one stream), in the order of the key."""
-    df = df.withColumns({"len": length.cast("long"), "__score": -F.col(key).cast("double"), "__tie": F.lit(0).cast("long")})
-    summed = running_sum(df, "__score", "__tie", "len", "__end", [group] if group else [])
-    return summed.withColumn("start", F.col("__end") - F.col("len")).drop("__score", "__tie", "__end")
+    by = [group] if group else []
+    summed = running_sum(df.withColumn("len", length.cast("long")), None, [*by, key], "len", "__end", by)
+    return summed.withColumn("start", F.col("__end") - F.col("len")).drop("__end")
 
 
 def window_pieces(df: DataFrame, ids: str, window: int, stride: int) -> DataFrame:
@@ -75,9 +75,8 @@ def num_epochs(tokens: int, seq_len: int, samples: int, extra: int = 1) -> int:
 def sample_index(docs: DataFrame, key: str, length: str, seq_len: int) -> DataFrame:
     """(sample, key, offset): sample i starts at token i * seq_len of the stream. A document emits the samples that start in it."""
     placed = offsets(docs.select(key, length), key, F.col(length))
-    total = placed.agg(F.sum("len")).first()[0] or 0
-    samples = max(0, (total - 1) // seq_len)
-    first, last = F.ceil(F.col("start") / seq_len), F.least(F.floor((F.col("start") + F.col("len") - 1) / seq_len), F.lit(samples))
+    samples = F.greatest(F.floor((total(docs, length) - 1) / seq_len), F.lit(0))
+    first, last = F.ceil(F.col("start") / seq_len), F.least(F.floor((F.col("start") + F.col("len") - 1) / seq_len), samples)
     hit = placed.where((F.col("len") > 0) & (last >= first)).withColumn("sample", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     return hit.select("sample", key, (F.col("sample") * seq_len - F.col("start")).alias("offset"))
 
@@ -226,11 +225,11 @@ def epoch_order(docs: DataFrame, key: str, epochs: int, separate_last: bool, ran
     """(pos, epoch, key): documents of all epochs in one hash order, with the last epoch after the others if it is separate."""
     rows = docs.select(key, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     block = (F.col("epoch") == epochs - 1).cast("int") if separate_last else F.lit(0)
-    rows = rows.withColumns({"__score": -block.cast("double"), "__tie": rank, "__one": F.lit(1)})
-    return running_sum(rows, "__score", "__tie", "__one", "__n").select((F.col("__n") - 1).alias("pos"), "epoch", key)
+    rows = rows.withColumns({"__block": block, "__rank": rank})
+    return numbered(rows, ["__block", "__rank"], "pos").select("pos", "epoch", key)
 
 
 def file_windows(lengths: DataFrame, order: str, tokens: str, seq_len: int) -> DataFrame:
     """Windows of each token file and the first global window of it."""
     wins = lengths.withColumn("windows", F.floor(F.col(tokens) / (seq_len + 1)))
-    return wins.withColumn("first", F.coalesce(F.sum("windows").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a file
+    return running_sum(wins, None, order, "windows", "first").withColumn("first", F.col("first") - F.col("windows"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import word_count
 from ..operators import blend, samplers, tokens as tk
+from ..session import materialised
 from ..sources import io
 from . import fixtures as fx
 from .registry import query
@@ -14,9 +15,9 @@ SEQ = 64
 
 
 def _docs(spark, d):
-    """doc_id, file, ids: stand-in tokens with an end token, by file of 100 documents."""
+    """doc_id, file, ids: stand-in tokens with an end token, by file of 100 documents. A tokenised corpus is a table."""
     docs = fx.table(spark, d, "documents")
-    return docs.select("doc_id", F.floor(F.col("doc_id") / fx.SHARD_ROWS).alias("file"), tk.with_eos(tk.stand_in_ids(F.col("text"))).alias("ids"))
+    return materialised(docs.select("doc_id", F.floor(F.col("doc_id") / fx.SHARD_ROWS).alias("file"), tk.with_eos(tk.stand_in_ids(F.col("text"))).alias("ids")))
 
 
 _WORDS = r"regexp_extract_all(text, '\S+')"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, scores as sc
 from ..operators import report
 from ..operators import tokens as tk
-from ..operators.prefix import running_sum
+from ..operators.prefix import numbered
 from . import fixtures as fx
 from .registry import query
 
@@ -44,15 +44,13 @@ def latex_scrape(spark, d):
 def segment_shuffle(spark, d):
     """A sample index shuffled in two segments: the last 151 ids stay after the others."""
     docs = fx.table(spark, d, "documents").select("doc_id")
-    cut = docs.agg(F.max("doc_id")).first()[0] - 150
-    keyed = docs.withColumns({"s": -(F.col("doc_id") >= cut).cast("double"), "t": fx.h("segment", F.col("doc_id")), "one": F.lit(1)})
-    return running_sum(keyed, "s", "t", "one", "n").select((F.col("n") - 1).alias("pos"), "doc_id")
+    cut = docs.agg(F.max("doc_id") - 150).scalar()
+    return numbered(docs.withColumns({"late": F.col("doc_id") >= cut, "t": fx.h("segment", F.col("doc_id"))}), ["late", "t"], "pos").select("pos", "doc_id")
 
 
 @query("SELECT doc_id, pos, pos // 16 AS chunk, pos // 16 % 4 AS rank FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)")
 def round_robin_chunks(spark, d):
-    docs = fx.table(spark, d, "documents").select("doc_id").withColumns({"s": -F.col("doc_id").cast("double"), "t": F.lit(0).cast("long"), "one": F.lit(1)})
-    rows = running_sum(docs, "s", "t", "one", "n").select("doc_id", (F.col("n") - 1).alias("pos"))
+    rows = numbered(fx.table(spark, d, "documents").select("doc_id"), "doc_id", "pos")
     return rows.withColumn("chunk", F.floor(F.col("pos") / 16)).withColumn("rank", F.col("chunk") % 4)
 
 

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.hashing import priority
 from ..functions.scores import consensus, disagreement
 from ..functions.text import word_count
-from ..operators.rank import average_rank_pct
+from ..operators.prefix import running_sum, total
+from ..operators.rank import average_rank_pcts
+from ..session import materialised
 
 HOLDOUT = 60
 SHARD_ROWS = 100
@@ -46,12 +48,10 @@ POOL = rf"""pool AS (SELECT doc_id, doc_id + doc_id // 7 AS orig_doc_id, lang AS
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pool with percentile ranks r1, r2, r3 and float32 q and v. Narrow columns, cached: each query goes over them several times."""
-    df = pool(spark, sf_dir)
-    for i in (1, 2, 3):
-        df = average_rank_pct(df, f"s{i}", f"r{i}")
+    """The pool with percentile ranks r1, r2, r3 and float32 q and v."""
+    df = average_rank_pcts(pool(spark, sf_dir), {f"s{i}": f"r{i}" for i in (1, 2, 3)})
     a, b, c = F.col("r1"), F.col("r2"), F.col("r3")
-    return df.withColumn("q", consensus(a, b, c)).withColumn("v", disagreement(a, b, c, F.col("q"))).cache()
+    return df.withColumn("q", consensus(a, b, c)).withColumn("v", disagreement(a, b, c, F.col("q")))
 
 
 _RANK = "((rank() OVER (ORDER BY s{i}) + (count(*) OVER (PARTITION BY s{i}) - 1) / 2.0)::DOUBLE / count(*) OVER ())::FLOAT AS r{i}"
@@ -69,9 +69,9 @@ HELD = f"held AS (SELECT doc_id FROM documents ORDER BY {sql_h('val')} LIMIT {HO
 
 
 def alive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked rows without the holdout, with training length `len`."""
+    """Ranked rows without the holdout, with training length `len`: a narrow table written once, as each query goes over it several times."""
     df = ranked(spark, sf_dir)
-    return df.join(holdout(df), "doc_id", "left_anti").withColumn("len", F.col("tok") + 1)
+    return materialised(df.join(holdout(table(spark, sf_dir, "documents")), "doc_id", "left_anti").withColumn("len", F.col("tok") + 1))
 
 
 ALIVE = f"{RANKED}, {HELD}, alive AS (SELECT *, tok + 1 AS len FROM ranked WHERE doc_id NOT IN (SELECT doc_id FROM held))"
@@ -130,13 +130,14 @@ SCORES = """scores AS (SELECT 's' || (user_id % 4) AS setting, event_id % 3 AS s
     FROM events GROUP BY ALL)"""
 
 
-def sets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Four selections: the first rows by each score, up to a tenth of the pool's tokens, and by consensus up to a fifth."""
-    from ..operators.prefix import top_share
-
-    df = alive(spark, sf_dir)
-    out = {f"top{i}": top_share(df, f"s{i}", "tie", "len", 0.1).select("doc_id") for i in (1, 2, 3)}
-    return out | {"consensus": top_share(df, "q", "tie", "len", 0.2).select("doc_id")}
+def sets(df: DataFrame) -> dict[str, DataFrame]:
+    """Four selections of alive(): the first rows by each score, up to a tenth of the pool's tokens, and by consensus up to a fifth. One
+    running sum over (set, score) makes all; the ids are written once, as a selection is kept."""
+    grid = [F.struct(F.lit(n).alias("set"), F.col(c).alias("score"), F.lit(share).alias("share")) for n, c, share in (("top1", "s1", 0.1), ("top2", "s2", 0.1), ("top3", "s3", 0.1), ("consensus", "q", 0.2))]
+    rows = df.select("doc_id", "tie", "len", F.explode(F.array(*grid)).alias("x")).select("doc_id", "tie", "len", "x.*")
+    filled = running_sum(rows, "score", "tie", "len", "cum", ["set"]).where(F.col("cum") - F.col("len") < F.col("share") * total(df, "len"))
+    chosen = materialised(filled.select("set", "doc_id"))
+    return {n: chosen.where(F.col("set") == n).select("doc_id") for n in SET_NAMES}
 
 
 def _set_sql(name: str, score: str, share: float) -> str:

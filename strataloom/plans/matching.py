@@ -70,7 +70,7 @@ def remove_renumber(spark, d):
 
 @query(f"WITH {fx.SETS}, {_A} SELECT count(*) AS docs, sum(rewritten_tokens)::BIGINT AS tokens FROM pass_a WHERE doc_id IN (SELECT doc_id FROM consensus)")
 def semi_join_tokens(spark, d):
-    return st.only(fx.passes(spark, d, "a"), "doc_id", fx.sets(spark, d)["consensus"]).agg(F.count("*").alias("docs"), F.sum("rewritten_tokens").alias("tokens"))
+    return st.only(fx.passes(spark, d, "a"), "doc_id", fx.sets(fx.alive(spark, d))["consensus"]).agg(F.count("*").alias("docs"), F.sum("rewritten_tokens").alias("tokens"))
 
 
 _FILES = f"""{fx.POOL}, files AS (SELECT doc_id // 100 AS file, sum(tok)::BIGINT AS size FROM pool GROUP BY 1), placed AS (SELECT file, size, (sum(size) OVER (ORDER BY file))::BIGINT - size AS start FROM files)"""
@@ -108,7 +108,7 @@ def tables_equal(spark, d):
 
 @query(f"WITH {fx.SETS}, {fx.TAGGED} SELECT doc_id, sum(bit)::INTEGER AS bits FROM tagged GROUP BY doc_id")
 def membership_matrix(spark, d):
-    return st.membership(fx.sets(spark, d), "doc_id")
+    return st.membership(fx.sets(fx.alive(spark, d)), "doc_id")
 
 
 @query("WITH c AS (SELECT doc_id, text FROM documents) SELECT doc_id, count(DISTINCT h) AS hashes, count(DISTINCT k) AS n_copies FROM (SELECT doc_id, 1 AS k, sha256(substr(text, 1, 256)) AS h FROM c UNION ALL SELECT doc_id, 2, sha256(substr(CASE WHEN doc_id % 3 = 0 THEN 'x' || text ELSE text END, 1, 256)) FROM c WHERE doc_id % 7 <> 0) GROUP BY doc_id HAVING count(DISTINCT h) > 1 OR count(DISTINCT k) < 2")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, scores as sc
 from ..operators import distribution as ds
 from ..operators import match, prefix, rank, sets as st
+from ..session import materialised
 from ..sources import io
 from . import fixtures as fx
 from .registry import query
@@ -118,8 +119,7 @@ def formatted_points(spark, d):
 @query("SELECT doc_id, round(n_chars::DOUBLE / sum(n_chars) OVER (), 9) AS weight FROM documents")
 def normalised_weights(spark, d):
     docs = fx.table(spark, d, "documents")
-    whole = docs.agg(F.sum("n_chars")).first()[0]
-    return docs.select("doc_id", F.round(F.col("n_chars") / F.lit(whole), 9).alias("weight"))
+    return docs.select("doc_id", F.round(F.col("n_chars") / prefix.total(docs, "n_chars"), 9).alias("weight"))
 
 
 # --- C: filters ---------------------------------------------------------------------------------------------------------------------
@@ -137,9 +137,9 @@ def exclude_multi(spark, d):
 
 @query(f"""WITH {fx.RANKED} SELECT doc_id FROM ranked WHERE q::DOUBLE >= (SELECT quantile_cont(q::DOUBLE, 0.3) FROM ranked) AND v::DOUBLE <= (SELECT quantile_cont(v::DOUBLE, 0.9) FROM ranked)""")
 def percentile_constraint(spark, d):
-    df = fx.ranked(spark, d)
-    low, high = df.agg(F.percentile(F.col("q").cast("double"), 0.3), F.percentile(F.col("v").cast("double"), 0.9)).first()
-    return df.where((F.col("q").cast("double") >= low) & (F.col("v").cast("double") <= high)).select("doc_id")
+    df = materialised(fx.ranked(spark, d).select("doc_id", "q", "v"))
+    at = lambda c, p: rank.percentiles_by(df, c, [p]).select(F.get("p", F.lit(0))).scalar()
+    return df.where((F.col("q").cast("double") >= at("q", 0.3)) & (F.col("v").cast("double") <= at("v", 0.9))).select("doc_id")
 
 
 @query(f"WITH {fx.sql_passes('a')} SELECT doc_id, CASE WHEN rewritten_tokens > 400 THEN 0 ELSE status END AS status FROM pass_a WHERE status = 2 OR rewritten_tokens > 400")
@@ -162,8 +162,7 @@ def chained_fill(spark, d):
 
 @query(f"""WITH {fx.ALIVE}, c AS (SELECT doc_id, len, (sum(len) OVER (ORDER BY {fx.sql_h("random")} ROWS UNBOUNDED PRECEDING))::BIGINT AS cum FROM alive) SELECT doc_id, cum FROM c WHERE cum - len < {BUDGET}""")
 def random_fill(spark, d):
-    df = fx.alive(spark, d).withColumns({"flat": F.lit(0.0), "h": fx.h("random", F.col("doc_id"))})
-    return prefix.budget_fill(df, "flat", "h", "len", BUDGET).select("doc_id", "cum")
+    return prefix.budget_fill(fx.alive(spark, d).withColumn("h", fx.h("random", F.col("doc_id"))), None, "h", "len", BUDGET).select("doc_id", "cum")
 
 
 @query(f"""WITH {fx.ALIVE}, t AS (SELECT topic, sum(len) AS t FROM alive GROUP BY topic), c AS (SELECT a.*, {BUDGET} * t.t // (SELECT sum(len) FROM alive) AS quota,
@@ -269,12 +268,13 @@ def uniform_sample(spark, d):
 # --- H: sets ----------------------------------------------------------------------------------------------------------------------------
 @query(f"WITH {fx.SETS}, {fx.TAGGED} SELECT doc_id, count(*) AS votes, count(*) = 4 AS in_all FROM tagged GROUP BY doc_id")
 def domain_union(spark, d):
-    return st.votes(fx.sets(spark, d), "doc_id").select("doc_id", F.col("votes").cast("long").alias("votes"), (F.col("votes") == 4).alias("in_all"))
+    return st.votes(fx.sets(fx.alive(spark, d)), "doc_id").select("doc_id", F.col("votes").cast("long").alias("votes"), (F.col("votes") == 4).alias("in_all"))
 
 
 @query(f"WITH {fx.SETS} SELECT doc_id FROM alive WHERE doc_id NOT IN (SELECT doc_id FROM consensus)")
 def complement(spark, d):
-    return st.exclude(fx.alive(spark, d).select("doc_id"), "doc_id", fx.sets(spark, d)["consensus"])
+    df = fx.alive(spark, d)
+    return st.exclude(df.select("doc_id"), "doc_id", fx.sets(df)["consensus"])
 
 
 _PAIRS = " UNION ALL ".join(
@@ -288,23 +288,26 @@ _PAIRS = " UNION ALL ".join(
 @query(f"""WITH {fx.SETS}, p AS ({_PAIRS}) SELECT a, b, a_docs, b_docs, both_docs, a_tokens, both_tokens, round(both_docs / (a_docs + b_docs - both_docs), 6) AS jaccard,
     round(both_docs / a_docs, 6) AS coverage_docs, round(both_tokens / a_tokens, 6) AS coverage_tokens FROM p""")
 def overlap_matrix(spark, d):
-    out = st.overlap_matrix(fx.sets(spark, d), "doc_id", fx.alive(spark, d), "len")
+    df = fx.alive(spark, d)
+    out = st.overlap_matrix(fx.sets(df), "doc_id", df, "len")
     return out.select("a", "b", "a_docs", "b_docs", "both_docs", "a_tokens", "both_tokens", *[r6(F.col(c), c) for c in ("jaccard", "coverage_docs", "coverage_tokens")])
 
 
 @query(f"WITH {fx.SETS} SELECT round(count(*)::DOUBLE / (SELECT count(*) FROM consensus), 6) AS docs, round(sum(len)::DOUBLE / (SELECT sum(len) FROM alive WHERE doc_id IN (SELECT doc_id FROM consensus)), 6) AS tokens FROM alive WHERE doc_id IN (SELECT doc_id FROM consensus) AND doc_id IN (SELECT doc_id FROM top1)")
 def coverage(spark, d):
-    s = {k: v for k, v in fx.sets(spark, d).items() if k in ("consensus", "top1")}
-    out = st.overlap_matrix(s, "doc_id", fx.alive(spark, d), "len").where("a = 'consensus' and b = 'top1'")
+    df = fx.alive(spark, d)
+    s = {k: v for k, v in fx.sets(df).items() if k in ("consensus", "top1")}
+    out = st.overlap_matrix(s, "doc_id", df, "len").where("a = 'consensus' and b = 'top1'")
     return out.select(r6(F.col("coverage_docs"), "docs"), r6(F.col("coverage_tokens"), "tokens"))
 
 
 @query(f"""WITH {fx.SETS}, n AS (SELECT (SELECT count(*) FROM alive) AS n, (SELECT count(*) FROM top1) AS a, (SELECT count(*) FROM top2) AS b, (SELECT count(*) FROM top1 WHERE doc_id IN (SELECT doc_id FROM top2)) AS i)
     SELECT i AS observed, round(i / (b * a::DOUBLE / n), 6) AS enrichment FROM n""")
 def enrichment(spark, d):
-    s, n = fx.sets(spark, d), fx.alive(spark, d).count()
+    df = fx.alive(spark, d)
+    s, n = fx.sets(df), df.agg(F.count("*")).scalar()
     m = st.membership({"a": s["top1"], "b": s["top2"]}, "doc_id").agg(F.count_if(F.col("bits").bitwiseAND(1) > 0).alias("a"), F.count_if(F.col("bits").bitwiseAND(2) > 0).alias("b"), F.count_if(F.col("bits") == 3).alias("observed"))
-    return m.select("observed", r6(st.enrichment(F.col("observed"), F.col("b"), F.col("a").cast("double"), F.lit(n)), "enrichment"))
+    return m.select("observed", r6(st.enrichment(F.col("observed"), F.col("b"), F.col("a").cast("double"), n), "enrichment"))
 
 
 @query(f"""WITH {fx.SETS}, p AS (SELECT topic, sum(len)::DOUBLE AS x FROM alive WHERE doc_id IN (SELECT doc_id FROM consensus) GROUP BY topic), w AS (SELECT topic, sum(len)::DOUBLE AS x FROM alive GROUP BY topic),
@@ -312,7 +315,7 @@ def enrichment(spark, d):
     SELECT round(sum(abs(p - r)) / 2, 6) AS tv, round(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + r)) ELSE 0 END + CASE WHEN r > 0 THEN r * log2(2 * r / (p + r)) ELSE 0 END) / 2, 6) AS js_bits FROM b""")
 def tv_js(spark, d):
     df = fx.alive(spark, d)
-    chosen = ds.strata_share(st.only(df, "doc_id", fx.sets(spark, d)["consensus"]), "topic", "len", df)
+    chosen = ds.strata_share(st.only(df, "doc_id", fx.sets(df)["consensus"]), "topic", "len", df)
     return ds.divergence(chosen, ds.strata_share(df, "topic", "len"), "topic", "token_share").select(r6(F.col("tv"), "tv"), r6(F.col("js_bits"), "js_bits"))
 
 
@@ -324,31 +327,35 @@ def dual_membership(spark, d):
 
 @query(f"""WITH {fx.SETS} SELECT doc_id IN (SELECT doc_id FROM consensus) AS chosen, count(*) AS n, round(quantile_cont(tok, 0.25), 4) AS p25, round(quantile_cont(tok, 0.5), 4) AS p50, round(quantile_cont(tok, 0.75), 4) AS p75 FROM alive GROUP BY ALL""")
 def selected_contrast(spark, d):
-    chosen = fx.sets(spark, d)["consensus"].withColumn("hit", F.lit(True))
-    df = fx.alive(spark, d).join(chosen, "doc_id", "left").withColumn("chosen", F.coalesce("hit", F.lit(False)))
+    df = fx.alive(spark, d)
+    chosen = fx.sets(df)["consensus"].withColumn("hit", F.lit(True))
+    df = df.join(chosen, "doc_id", "left").withColumn("chosen", F.coalesce("hit", F.lit(False)))
     return st.contrast(df, "chosen", "tok", [0.25, 0.5, 0.75]).select("chosen", "n", *[F.round(c, 4).alias(c) for c in ("p25", "p50", "p75")])
 
 
 @query(f"""WITH {fx.SETS}, {fx.TAGGED} SELECT a.set AS a, b.set AS b, count(*) AS shared FROM tagged a JOIN tagged b USING (doc_id) WHERE a.set < b.set GROUP BY ALL""")
 def exclusivity_report(spark, d):
-    out = st.overlap_matrix(fx.sets(spark, d), "doc_id", fx.alive(spark, d), "len")
+    df = fx.alive(spark, d)
+    out = st.overlap_matrix(fx.sets(df), "doc_id", df, "len")
     return out.where("a < b and both_docs > 0").select("a", "b", F.col("both_docs").alias("shared"))
 
 
 @query(f"""WITH {fx.SETS}, {fx.TAGGED}, p AS (SELECT doc_id, sum(bit)::INTEGER AS bits FROM tagged GROUP BY doc_id) SELECT bits, count(*) AS docs, sum(len)::BIGINT AS tokens FROM p JOIN alive USING (doc_id) GROUP BY bits""")
 def bit_patterns(spark, d):
-    return st.pattern_counts(fx.sets(spark, d), "doc_id", fx.alive(spark, d), "len")
+    df = fx.alive(spark, d)
+    return st.pattern_counts(fx.sets(df), "doc_id", df, "len")
 
 
 @query(f"WITH {fx.SETS}, {fx.TAGGED}, v AS (SELECT doc_id, count(*) AS votes FROM tagged WHERE set <> 'consensus' GROUP BY doc_id) SELECT votes, count(*) AS docs FROM v GROUP BY votes")
 def votes(spark, d):
-    s = {k: v for k, v in fx.sets(spark, d).items() if k != "consensus"}
+    s = {k: v for k, v in fx.sets(fx.alive(spark, d)).items() if k != "consensus"}
     return st.votes(s, "doc_id").groupBy(F.col("votes").cast("long").alias("votes")).agg(F.count("*").alias("docs"))
 
 
 @query(f"WITH {fx.SETS}, {fx.TAGGED} SELECT set, count(*) AS docs, round(avg(tok), 4) AS mean_tok, min(tok) AS min_tok, round(median(tok), 4) AS median_tok, round(avg(q::DOUBLE), 6) AS mean_q FROM tagged JOIN alive USING (doc_id) GROUP BY set")
 def set_profiles(spark, d):
-    rows = st.tagged(fx.sets(spark, d), "doc_id").join(fx.alive(spark, d).withColumn("q", F.col("q").cast("double")), "doc_id")
+    df = fx.alive(spark, d)
+    rows = st.tagged(fx.sets(df), "doc_id").join(df.withColumn("q", F.col("q").cast("double")), "doc_id")
     return ds.profile(rows, "set", ["tok", "q"]).select("set", "docs", F.round("mean_tok", 4).alias("mean_tok"), "min_tok", F.round("median_tok", 4).alias("median_tok"), r6(F.col("mean_q"), "mean_q"))
 
 
@@ -357,4 +364,4 @@ _DIGEST = """b AS (SELECT ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT %
 
 @query(f"WITH {fx.SETS}, {_DIGEST} SELECT sum(n)::BIGINT AS n, sha256(string_agg(d, ',' ORDER BY bucket)) AS digest FROM b")
 def set_digest(spark, d):
-    return hashing.set_digest(fx.sets(spark, d)["consensus"], "doc_id")
+    return hashing.set_digest(fx.sets(fx.alive(spark, d))["consensus"], "doc_id")

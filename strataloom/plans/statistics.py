@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import distribution as ds
 from ..operators import domains, paired, prefix
+from ..operators.rank import percentiles_by
 from . import fixtures as fx
 from .registry import query
 
@@ -14,7 +15,9 @@ r6 = lambda c, n: F.round(c, 6).alias(n)
 
 @query(f"WITH {fx.POOL} SELECT count(*) AS n, sum(tok)::BIGINT AS s, min(tok) AS lo, max(tok) AS hi, round(avg(tok), 6) AS mean, round(median(tok), 6) AS med FROM pool")
 def scalar_stats(spark, d):
-    return fx.pool(spark, d).agg(F.count("*").alias("n"), F.sum("tok").alias("s"), F.min("tok").alias("lo"), F.max("tok").alias("hi"), r6(F.avg("tok"), "mean"), r6(F.percentile("tok", 0.5), "med"))
+    df = fx.pool(spark, d)
+    median = percentiles_by(df, "tok", [0.5]).select(F.get("p", F.lit(0))).scalar()
+    return df.agg(F.count("*").alias("n"), F.sum("tok").alias("s"), F.min("tok").alias("lo"), F.max("tok").alias("hi"), r6(F.avg("tok"), "mean")).withColumn("med", F.round(median, 6))
 
 
 _AT = [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
@@ -29,7 +32,7 @@ def percentile_table(spark, d):
 def floor_quantile(spark, d):
     df = fx.pool(spark, d).withColumn("one", F.lit(1))
     ordered = prefix.running_sum(df, "tok", "tie", "one", "pos")
-    return ds.floor_quantile(ordered, "pos", "tok", [0.1, 0.5, 0.9], df.count())
+    return ds.floor_quantile(ordered, "pos", "tok", [0.1, 0.5, 0.9])
 
 
 @query(f"WITH {fx.POOL} SELECT source, count(*) AS docs, sum(tok + 1)::BIGINT AS tokens FROM pool GROUP BY source")
@@ -109,10 +112,9 @@ def per_domain_loss(spark, d):
     SELECT dom, round(0.9 * up / sum(up) OVER () + 0.1 / k, 6) AS weight FROM n""")
 def doremi_update(spark, d):
     doms = _domains(spark, d)
-    k = doms.count()
     excess = domains.excess(_losses(spark, d), "loss", "ref")
     loss = domains.per_domain_loss(excess, doms, "dom", "loss", 4)
-    return domains.update_weights(doms.withColumn("weight", F.lit(1.0 / k)), loss, "dom", 1.5, 0.1).withColumn("weight", F.round("weight", 6))
+    return domains.update_weights(doms.withColumn("weight", F.lit(1.0) / doms.agg(F.count("*")).scalar()), loss, "dom", 1.5, 0.1).withColumn("weight", F.round("weight", 6))
 
 
 @query("SELECT source, n, round(n / sum(n) OVER (), 6) AS weight FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
@@ -212,8 +214,7 @@ def reference_check(spark, d):
 def topic_three_way(spark, d):
     df = fx.pool(spark, d).withColumn("arm", fx.h("arm", F.col("doc_id")) % 2)
     by = df.groupBy("topic").agg(*[F.sum(F.when(c, F.col("tok")).otherwise(0)).alias(n) for n, c in (("rewritten", F.col("arm") == 0), ("shared", F.col("arm") == 1), ("combined", F.lit(True)))])
-    totals = by.agg(*[F.sum(c).alias(c) for c in ("rewritten", "shared", "combined")]).first()
-    return by.select("topic", *[r6(F.col(c) / F.lit(totals[c]), c) for c in ("rewritten", "shared", "combined")])
+    return by.select("topic", *[r6(F.col(c) / prefix.total(by, c), c) for c in ("rewritten", "shared", "combined")])
 
 
 @query()

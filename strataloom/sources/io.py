@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import priority
-from ..operators.prefix import running_sum
+from ..session import materialised, shared_folder
+from ..operators.prefix import numbered, running_sum
 
 DOCUMENT = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("metadata", T.StringType())])
 
@@ -29,11 +30,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT,
 
 
 def jsonl_roundtrip(df: DataFrame) -> DataFrame:
-    """df as read back from JSONL, which is written to a new folder beside the checkpoints (in spark.checkpoint.dir, set if none is named)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{context.getCheckpointDir()}/jsonl-{uuid.uuid4()}"
+    """df as read back from JSONL, which is written to a new folder beside the checkpoints (session.shared_folder)."""
+    path = f"{shared_folder(df.sparkSession)}/jsonl-{uuid.uuid4()}"
     df.write.json(path)
     return read_jsonl(df.sparkSession, path, df.schema)
 
@@ -68,23 +66,21 @@ def mix(sources: dict[str, tuple[DataFrame, float]], key: str, seed: int = 42) -
     for name, (df, fraction) in sources.items():
         if fraction < 0:
             raise ValueError(f"negative fraction for {name}")
-        ranked = df.withColumns({"__score": -F.col(key).cast("double"), "__tie": F.lit(0).cast("long"), "__one": F.lit(1), "dataset": F.lit(name)})
-        ranked = running_sum(ranked, "__score", "__tie", "__one", "__n").where(F.col("__n") <= int(fraction * df.count())).drop("__n", "__score", "__tie")
+        most = F.floor(F.lit(fraction) * df.agg(F.count("*")).scalar())
+        ranked = numbered(df.withColumn("dataset", F.lit(name)), key, "__n").where(F.col("__n") < most).drop("__n")
         parts = ranked if parts is None else parts.unionByName(ranked)
-    shuffled = parts.withColumns({"__tie": priority("mix", F.col("dataset"), F.col(key), seed=seed), "__score": F.lit(0.0)})
-    return running_sum(shuffled, "__score", "__tie", "__one", "pos").withColumn("pos", F.col("pos") - 1).drop("__tie", "__score", "__one")
+    return numbered(parts.withColumn("__tie", priority("mix", F.col("dataset"), F.col(key), seed=seed)), "__tie", "pos").drop("__tie")
 
 
 def seeded_order(df: DataFrame, key: str, stream: str = "shuffle", seed: int = 42) -> DataFrame:
     """Add pos: each row's place in a seeded shuffle, the same however the data are partitioned."""
-    keyed = df.withColumns({"__tie": priority(stream, F.col(key), seed=seed), "__score": F.lit(0.0), "__one": F.lit(1)})
-    return running_sum(keyed, "__score", "__tie", "__one", "pos").withColumn("pos", F.col("pos") - 1).drop("__tie", "__score", "__one")
+    return numbered(df.withColumn("__tie", priority(stream, F.col(key), seed=seed)), ["__tie", key], "pos").drop("__tie")
 
 
 def file_plan(ordered: DataFrame, position: str, files: int) -> DataFrame:
     """Add file_no: contiguous runs of ceil(n / files) rows along the position."""
-    n = ordered.count()
-    return ordered.withColumn("file_no", F.floor(F.col(position) / max(1, -(-n // files))))
+    rows = ordered.agg(F.count("*")).scalar()
+    return ordered.withColumn("file_no", F.floor(F.col(position) / F.greatest(F.ceil(rows / files), F.lit(1))))
 
 
 def export_ordered(ordered: DataFrame, position: str, path: str, files: int = 16) -> None:
@@ -93,13 +89,16 @@ def export_ordered(ordered: DataFrame, position: str, path: str, files: int = 16
     planned.repartitionByRange(files, "file_no").sortWithinPartitions(position).write.mode("overwrite").partitionBy("file_no").parquet(path)
 
 
-def write_checked(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Write, reread, and raise unless count and key digest are the same. A complete earlier output of the same rows is kept."""
-    mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64(key) % (1 << 40))).first())
-    spark, want = df.sparkSession, mark(df)
+def write_checked(df: DataFrame, path: str) -> DataFrame:
+    """Write, reread, and raise unless row count and the digest of all columns are the same. A complete earlier output of the same rows
+    is kept. df is computed once, for a table beside the checkpoints that the digest and the write read."""
+    digest = lambda salt, d: F.sum(F.xxhash64(F.lit(salt), *sorted(d.columns)).cast("decimal(38,0)"))
+    mark = lambda d: tuple(d.agg(F.count("*"), digest(0, d), digest(1, d)).first())
+    spark, df = df.sparkSession, materialised(df)
+    want = mark(df)
     try:
-        if mark(spark.read.parquet(path)) == want:
-            return spark.read.parquet(path)
+        if sorted((earlier := spark.read.parquet(path)).columns) == sorted(df.columns) and mark(earlier) == want:
+            return earlier
     except Exception as e:  # no output yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -178,13 +177,9 @@ def read_token_files(spark: SparkSession, path: str, out: str = "ids") -> DataFr
 
 def merge_indexed(parts: Sequence[DataFrame], key: str, size: str) -> DataFrame:
     """Append indexed datasets: (part, key, size, pointer), with pointers run on over the whole."""
-    from functools import reduce
-
-    from ..operators.tokens import offsets
-
     whole = reduce(DataFrame.unionByName, (p.select(F.lit(i).alias("part"), key, size) for i, p in enumerate(parts)))
-    ranked = whole.withColumn("__rank", F.col("part").cast("long") * (1 << 40) + F.col(key))
-    return offsets(ranked, "__rank", F.col(size)).select("part", key, size, F.col("start").alias("pointer"))
+    summed = running_sum(whole, None, ["part", key], size, "__end")
+    return summed.select("part", key, size, (F.col("__end") - F.col(size)).alias("pointer"))
 
 
 def get_slice(indexed: DataFrame, ids: str, offset: int, length: int | None = None) -> DataFrame:

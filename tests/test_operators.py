@@ -1,6 +1,7 @@
 """Golden cases, edge rows and invariants of the corpus operators."""
 
 import math
+import os
 import random
 from difflib import SequenceMatcher
 
@@ -33,6 +34,58 @@ def test_running_sum_is_the_global_window(spark, ties):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.mark.parametrize("start", [0, 1 << 60, -(1 << 62)])
+def test_running_sum_keeps_long_keys_apart(spark, start):
+    df = spark.range(start, start + 3000).select(F.col("id").alias("k"), (F.col("id") % 5 + 7).alias("n"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"))
+    for by in ([], ["g"]):
+        window = Window.partitionBy(*by).orderBy("k")
+        want = df.withColumns({"c": F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, 0)), "nth": F.row_number().over(window).cast("long")})
+        got = prefix.running_sum(df, None, "k", "n", "c", by, rank="nth")
+        assert sets.same(got, want.select(*got.columns))
+    starts = [r.start for r in tk.offsets(df, "k", F.col("n")).orderBy("k").collect()]
+    assert starts == sorted(starts) and len(set(starts)) == 3000
+
+
+@pytest.mark.parametrize("kind", ["float", "double", "long", "int", "decimal(10,2)"])
+def test_running_sum_of_odd_scores(spark, kind):
+    values = [None, None, 0.0, -0.0, 1.0, -5.0, 7.0, 7.0] + ([float("nan"), float("inf"), float("-inf")] if kind in ("float", "double") else [])
+    df = spark.createDataFrame([(i, v, i % 3 + 1) for i, v in enumerate(values * 9)], "k long, v double, n long").withColumn("v", F.col("v").cast(kind))
+    window = Window.orderBy(F.col("v").desc(), "k")
+    want = df.withColumns({"c": F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, 0))})
+    assert {(r.k, r.c) for r in prefix.running_sum(df, "v", "k", "n", "c").collect()} == {(r.k, r.c) for r in want.collect()}
+
+
+def test_a_constant_score_fills_all_ranges(spark):
+    df = spark.range(50_000).select(F.lit(1.0).alias("s"), F.xxhash64("id").alias("tie"))
+    sizes = [r["count"] for r in prefix.with_range(df, "s", "tie", 64).groupBy("__range").count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 4 * 50_000 / 64
+
+
+def test_plans_start_no_job(spark):
+    df, tracker = pool(spark), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "")
+    prefix.chained_fill(df, "q", "tie", "len", [10, 20])
+    prefix.quota_fill(df, "topic", "q", "tie", "len", 700)
+    prefix.top_share(rank.average_rank_pcts(df, {"q": "r"}), "r", "tie", "len", 0.1)
+    assert not tracker.getJobIdsForGroup("build")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_percentiles_and_neighbours(spark):
+    import numpy as np
+
+    values = [float(x) for x in np.random.default_rng(5).integers(0, 40, 500)]
+    df = spark.createDataFrame([(i, v, None if i % 4 == 0 else f"g{i % 4}") for i, v in enumerate(values)], "k long, v double, g string")
+    at = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    assert np.allclose(rank.percentiles_by(df, "v", at).first().p, np.quantile(values, at))
+    for r in rank.percentiles_by(df, "v", at, ["g"]).collect():
+        own = [v for i, v in enumerate(values) if (None if i % 4 == 0 else f"g{i % 4}") == r.g]
+        assert r.n == len(own) and np.allclose(r.p, np.quantile(own, at))
+    before = {r.k: r.b for r in prefix.previous(df, "k", "v", "b").collect()}
+    assert before == {i: (values[i - 1] if i else None) for i in range(500)}
+    assert rank.percentiles_by(df.where("false"), "v", at).first().p == [None] * len(at)  # as an aggregate of no rows
+
+
 def test_budget_fill_edges(spark):
     df = pool(spark, 50)
     total = df.agg(F.sum("len")).first()[0]
@@ -226,8 +279,13 @@ def test_round_trips(spark, tmp_path):
     assert sets.same(back.select("doc_id", "ids"), ids) and back.select("file_no").distinct().count() == 3
     io.write_manifest(spark, {"docs": 3, "rules": ["x"]}, str(tmp_path / "m"))
     assert io.read_manifest(spark, str(tmp_path / "m")) == {"docs": 3, "rules": ["x"]}
-    kept = io.write_checked(ids, str(tmp_path / "c"), "doc_id")
-    assert kept.count() == 20 and io.write_checked(ids, str(tmp_path / "c"), "doc_id").count() == 20
+    assert sets.same(io.write_checked(ids, str(tmp_path / "c")), ids)
+    files = sorted(os.listdir(tmp_path / "c"))
+    assert sets.same(io.write_checked(ids, str(tmp_path / "c")), ids) and sorted(os.listdir(tmp_path / "c")) == files  # kept as it was
+    changed = ids.withColumn("ids", F.when(F.col("doc_id") == 3, F.array(F.lit(9))).otherwise(F.col("ids")))
+    assert sets.same(io.write_checked(changed, str(tmp_path / "c")), changed)
+    assert io.write_checked(ids.where("doc_id < 3"), str(tmp_path / "c")).count() == 3
+    assert io.write_checked(ids.select("doc_id"), str(tmp_path / "c")).columns == ["doc_id"]
     ordered = io.seeded_order(ids, "doc_id")
     io.export_ordered(ordered, "pos", str(tmp_path / "e"), 4)
     assert spark.read.parquet(str(tmp_path / "e")).groupBy("file_no").count().collect().__len__() == 4
