@@ -51,7 +51,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(documents(spark, sf_dir).select("doc_id", "text"))
     kinds = F.transform("base", lambda s: s["kind"])
     counts = {f"n_{k}": (F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long") for i, k in enumerate(pii.KINDS)}
-    return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+    more = {"n_added": F.size("spans") - F.size("base"), "n_secret": F.size("secrets"), "n_found": F.size("spans") + F.size("secrets")}
+    counts |= {n: c.cast("long") for n, c in more.items()}
+    secrets = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", F.lit(pii.SECRET), s["start"], s["end"])), ",")
+    return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"), secrets.alias("secrets"))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
