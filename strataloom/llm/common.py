@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Rows an Arrow batch may hold, and text bytes that a Python mapper works on at a time.
 BATCH_ROWS = 512
 CHUNK_BYTES = 1 << 19
@@ -27,12 +28,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame, release: bool = False) -> DataFrame:
-    """Cut lineage in the folder that the cluster names in spark.checkpoint.dir; set one only where none is named. release: let Spark
-    drop the shuffle files behind it at once (it drops those of plans that the driver's garbage collector has found dead)."""
+    """Cut lineage in the folder that the cluster names in spark.checkpoint.dir (session.shared_folder). release: let Spark drop the
+    shuffle files behind it at once: it drops those of plans that the driver's garbage collector has found dead, which on a large
+    heap may be long after they filled the executors' disks."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    shared_folder(spark)
     out = df.checkpoint()
     if release:
         del df

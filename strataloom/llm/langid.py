@@ -10,12 +10,13 @@ learned from all it has. Each language gets TRAIN_ROWS / languages rows, or all.
 
 Defined results: null text, or text without a letter, is `und` with score 0. So is every text if nothing could be learned.
 score is the posterior of the predicted language under a uniform prior (a tie goes to the smaller name). Rows are independent,
-so they may repeat; extra columns pass through (columns called lang_pred and score are replaced).
+so they may repeat; extra columns pass through (columns called lang_pred and score are replaced). A very long text is scored whole, in a
+chunk of its own. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,8 @@ ORDERS = (1, 2, 3)
 TRAIN_ROWS = 40_000
 SMOOTHING = 0.5
 UNDETERMINED = "und"
+#: A kept text's best language has more of the posterior than all others together.
+LEAST_SCORE = 0.5
 
 
 def held_out(key: str = "doc_id", parts: int = 3, part: int = 1) -> Column:
@@ -126,16 +129,28 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     return docs.mapInArrow(run, schema)
 
 
-def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """docs without the rows whose language is undetermined. Narrow, and no column is added."""
+def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], languages: Sequence[str] | None = None, least: float = LEAST_SCORE, label: str = "lang", text: str = "text") -> DataFrame:
+    """The rows of docs whose predicted language is among `languages` (all learned ones if None) with a score of at least `least`. Where
+    the label is null, the prediction is put in. Narrow, and no column is added. A model that learned nothing can reject nothing: then all
+    rows stay as they are."""
     small_batches(docs.sparkSession)
-    judge = _judge(docs, model)
+    names, judge = model[0], _judge(docs, model)
+    if not names:
+        return docs
+    wanted = np.array([languages is None or n in languages for n in names])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
-            yield batch.filter(pa.array(judge(batch.column(text).to_pylist())[0] >= 0))
+            best, score = judge(batch.column(text).to_pylist())
+            keep = pa.array((best >= 0) & wanted[best] & (score >= least))
+            if label in batch.schema.names:
+                at = batch.schema.get_field_index(label)
+                filled = pc.coalesce(batch.column(label).cast(pa.string()), pa.array([names[i] for i in best.tolist()], pa.string()))
+                batch = batch.set_column(at, batch.schema.field(at), filled.cast(batch.schema.field(at).type))
+            yield batch.filter(keep)
 
     return docs.mapInArrow(run, docs.schema)
 

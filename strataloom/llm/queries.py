@@ -43,8 +43,12 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.run(documents(spark, sf_dir).select("doc_id", langid.held_out(parts=10, part=0).alias("held_out"), "text"))
 
 
+#: Shards of the query: small enough that every table splits several times over.
+SHARD_BYTES = 256 << 10
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(documents(spark, sf_dir))
+    return sharding.assign(documents(spark, sf_dir), SHARD_BYTES)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +99,8 @@ def oracle_sql() -> dict[str, str]:
             WITH s AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes,
                               ('0x' || substr(md5(doc_id || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
             x AS (SELECT doc_id, bytes, h, d::INTEGER AS depth, sum(bytes) OVER (PARTITION BY d, h >> (60 - d::INTEGER))::BIGINT AS shard_bytes,
-                         count(*) OVER (PARTITION BY d, h >> (60 - d::INTEGER)) AS shard_docs FROM s, range(0, 31) r(d)),
-            y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, h ORDER BY depth) AS k FROM x WHERE shard_bytes <= {sharding.LIMIT_BYTES} OR shard_docs = 1)
+                         count(*) OVER (PARTITION BY d, h >> (60 - d::INTEGER)) AS shard_docs FROM s, range(0, 61) r(d)),
+            y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, h ORDER BY depth) AS k FROM x WHERE shard_bytes <= {SHARD_BYTES} OR shard_docs = 1)
             SELECT doc_id, bytes, substr(lpad(bin(h), 60, '0'), 1, depth) AS shard, depth, shard_bytes, shard_docs FROM y WHERE k = 1""",
         "op10_chat_format": rf"""
             WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -6,15 +6,15 @@ than the mean shard needs, and repeated on deeper bits for those prefixes alone
 DataFrame; rows find their shard by an equi-join on the histogram's prefix, which carries no text.
 
 Defined results: null text counts as 0 bytes. The hash is of id and text, so rows that repeat an id part; rows equal in both have
-one hash and stay together, the one case (beside a single row over the limit) in which a shard may exceed it. An empty table has
-no shards.
+one hash and stay together, the one case (beside a single row over the limit) in which a shard may exceed it. A very long text is one
+row of a shard, only its size and digest move. An empty table has no shards. Extra columns may have any name but shard.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
@@ -23,14 +23,19 @@ HASH_BITS = 60
 LIMIT_BYTES = 32 << 20
 
 
+def _hash(key: str, text: str) -> Column:
+    """60 bits of md5 over id and text digest."""
+    whole = F.md5(F.concat_ws(":", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))))
+    return F.conv(F.substring(whole, 1, 15), 16, 10).cast("long")
+
+
 def hashed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, bytes, hash): 60 bits of md5 over id and text digest."""
-    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    whole = F.md5(F.concat_ws(":", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")), F.md5(value)))
-    return docs.select(F.col(f"`{key}`").alias("doc_id"), F.octet_length(value).cast("long").alias("bytes"), F.conv(F.substring(whole, 1, 15), 16, 10).cast("long").alias("hash"))
+    """(doc_id, bytes, hash)"""
+    size = F.octet_length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long")
+    return docs.select(F.col(f"`{key}`").alias("doc_id"), size.alias("bytes"), _hash(key, text).alias("hash"))
 
 
-def _prefix(depth) -> object:
+def _prefix(depth: Column) -> Column:
     return F.call_function("shiftright", F.col("hash"), (F.lit(HASH_BITS) - depth).cast("int"))
 
 
@@ -69,18 +74,25 @@ def _unsettled(rows: DataFrame, found: list[tuple[int, DataFrame]]) -> DataFrame
 def assign(docs: DataFrame, limit: int = LIMIT_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, bytes, shard, depth, shard_bytes, shard_docs); shard is the prefix as a string of depth bits."""
     rows = hashed(docs, key, text)
-    out, found = None, directory(rows, limit)
+    return _located(rows, directory(rows, limit)).select("doc_id", "bytes", "shard", F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_docs")
+
+
+def _located(rows: DataFrame, found: list[tuple[int, DataFrame]]) -> DataFrame:
+    """rows, which have a hash, with shard, depth, shard_bytes and shard_docs, by an equi-join on the hash prefix."""
+    out = None
     for n, (bits, cells) in enumerate(found):
-        part = _unsettled(rows, found[:n]).withColumn("cell", _prefix(F.lit(bits))).join(cells, "cell")
+        part = _unsettled(rows, found[:n]).withColumn("cell", _prefix(F.lit(bits))).join(cells, "cell").drop("cell")
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = rows.select("*", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_docs"))
     shard = F.substring(F.lpad(F.conv(F.col("hash").cast("string"), 10, 2), HASH_BITS, "0"), F.lit(1), F.col("depth"))
-    return out.select("doc_id", "bytes", shard.alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_docs")
+    return out.withColumn("shard", shard)
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT_BYTES, key: str = "doc_id", text: str = "text") -> None:
-    """Write docs to a folder for each shard. Each shard is one task's output, so its size is bounded by the limit."""
-    shards = assign(docs, limit, key, text).select(F.col("doc_id").alias("__id"), "shard").distinct()
-    tagged = docs.join(shards, F.col(f"`{key}`").eqNullSafe(F.col("__id"))).drop("__id")
-    tagged.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Write docs to a folder for each shard (a column called shard is replaced). A row's hash goes with it, so rows that repeat an id
+    keep their own shards. Each shard is one task's output, so its size is bounded by the limit."""
+    columns = [c for c in docs.columns if c != "shard"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), _hash(key, text).alias("hash"))
+    located = _located(rows, directory(hashed(docs, key, text), limit)).select("row.*", F.concat(F.lit("s"), "shard").alias("shard"))
+    located.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
