@@ -46,9 +46,15 @@ def buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# --- Fixed-size filters over keys ---------------------------------------------------------------------------------------------
-#: Bits of a key filter; as 64-bit words it is a table of at most 2**17 rows, whatever the number of keys.
-FILTER_BITS = 23
+# --- Filters over keys, of bounded size ---------------------------------------------------------------------------------------
+#: Least and most bits of a key filter, as powers of two; as 64-bit words it is a table of 2**17 to 2**21 rows (2 to 32 MB).
+FILTER_BITS, MOST_BITS = 23, 27
+
+
+def filter_bits(keys: DataFrame) -> int:
+    """Bits for a filter of so many keys: eight a key, within the bounds. Past the upper one, a filter lets more rows through, which costs
+    work but changes no result."""
+    return min(MOST_BITS, max(FILTER_BITS, keys.count().bit_length() + 3))
 
 
 def _position(key: Column, bits: int) -> Column:
@@ -56,7 +62,8 @@ def _position(key: Column, bits: int) -> Column:
 
 
 def key_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
-    """The words of a one-hash Bloom filter over a key column: (word, mask), at most 2**(bits - 6) rows. Null keys count as a key."""
+    """The words of a one-hash Bloom filter over a key column: (word, mask), at most 2**(bits - 6) rows, so its size has a proven bound.
+    Null keys count as a key."""
     at = keys.select(_position(F.col(key), bits).alias("at"))
     return at.groupBy(F.shiftright("at", 6).alias("filter_word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))).alias("filter_mask")
@@ -65,7 +72,7 @@ def key_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
 
 def maybe_in(df: DataFrame, key: Column, words: DataFrame, flag: str, bits: int = FILTER_BITS) -> DataFrame:
     """Add a boolean column that is true where key may be in the filter and false where it is surely not. The words table has a
-    proven size bound (2 MB at the default), so it is broadcast."""
+    proven size bound (2 MB at the default, 32 MB at most), so it is broadcast."""
     at = _position(key, bits)
     own = words.select(F.col("filter_word").alias("__word"), F.col("filter_mask").alias("__mask"))
     out = df.withColumn("__at", at).join(F.broadcast(own), F.shiftright("__at", 6) == F.col("__word"), "left")
@@ -89,7 +96,8 @@ def keep_decided(df: DataFrame, key: str, digest: Column, marks: DataFrame) -> D
     first by its JSON. Null keys are keys like others. Only rows whose key may be among the marks are digested and shuffled."""
     columns = [F.col(f"`{c}`") for c in df.columns]
     marks = checkpointed(marks.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__mark"), "once").distinct())
-    flagged = maybe_in(df, F.col(f"`{key}`"), key_filter(marks, "__id"), "__maybe")
+    bits = filter_bits(marks)
+    flagged = maybe_in(df, F.col(f"`{key}`"), key_filter(marks, "__id", bits), "__maybe", bits)
     sure = flagged.where(~F.col("__maybe")).select(*columns)
     rest = flagged.where("__maybe").withColumn("__digest", digest)
     same = F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__mark"))

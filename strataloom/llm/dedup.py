@@ -1,18 +1,20 @@
 """Exact dedup by progressive refinement, in DataFrame functions only.
 
 Texts are equal when identical after every run of white space `[\\x20\\x09-\\x0D]` becomes one space. Rows are refined in three
-steps, each of which reads only what the one before could not tell apart:
+steps, each of which works only on what the one before could not tell apart:
 
 1. group by length of the normalised text: a length that occurs once has no copies;
 2. of rows whose length recurs, group by length and hash of a prefix;
 3. of rows whose length and prefix recur, hash the full text and group by that.
 
-Between steps the surviving groups travel as a fixed-size key filter (see common.key_filter), so no step shuffles a text or joins
-on a hot group: a group of copies is counted by partial aggregation, and a false positive of the filter only means one more hash.
+Texts are read twice: for lengths and prefixes, a narrow table of a few bytes a row, and for the full hashes of what survives it, another
+one. The surviving groups travel as a key filter whose size follows their number within a bound (see common.key_filter), so no step
+shuffles a text or joins on a hot group: a group of copies is counted by partial aggregation, and a false positive of the filter only
+means one more hash.
 
-Defined results: null text counts as empty. Null ids sort last: a group whose ids are all null has a null keep_id. Repeated rows
-(same id, same text) count one by one in group_size, and exactly one row of each group is kept. Extra columns don't matter; an
-empty table gives an empty result.
+Defined results: null text counts as empty; a very long text is hashed whole, in its own row. Null ids sort last: a group whose ids are all null has a null keep_id. Repeated rows
+(same id, same text) count one by one in group_size, and exactly one row of each group is kept. Extra columns don't matter, whatever
+their names: only key and text are read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_decided, key_filter, maybe_in
+from ..session import materialised
+from .common import filter_bits, keep_decided, key_filter, maybe_in
 
 PREFIX_CHARS = 64
 
@@ -33,16 +36,14 @@ def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", every_di
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. The digest is null for rows that refinement
     settled without reading their full text, unless every_digest asks for it as part of the result."""
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), normalised(F.col(f"`{text}`")).alias("__text"))
-    rows = rows.withColumn("__length", F.length("__text"))
-    lengths = rows.groupBy("__length").count().where("count > 1")
-    rows = maybe_in(rows, F.col("__length"), key_filter(lengths, "__length"), "__refine")
-    prefix = F.when(F.col("__refine"), F.xxhash64("__length", F.substring("__text", 1, PREFIX_CHARS)))
-    rows = rows.withColumn("__prefix", prefix)
-    prefixes = rows.where("__refine").groupBy("__prefix").count().where("count > 1")
-    rows = maybe_in(rows, F.col("__prefix"), key_filter(prefixes, "__prefix"), "__same_prefix")
-    rows = rows.withColumn("__refine", F.col("__refine") & F.col("__same_prefix"))
+    rows = rows.withColumn("__length", F.length("__text")).withColumn("__prefix", F.xxhash64("__length", F.substring("__text", 1, PREFIX_CHARS)))
+    groups = rows.groupBy("__length", "__prefix").agg(F.count(F.lit(1)).alias("n"))
+    groups = materialised(groups)
+    lengths = groups.groupBy("__length").agg(F.sum("n").alias("n")).where("n > 1").select("__length")
+    prefixes = groups.join(lengths, "__length", "left_semi").where("n > 1").select("__prefix")
+    rows = maybe_in(rows, F.col("__prefix"), key_filter(prefixes, "__prefix", bits := filter_bits(prefixes)), "__refine", bits)
     digest = F.sha2("__text", 256)
-    rows = rows.select("doc_id", "__refine", (digest if every_digest else F.when(F.col("__refine"), digest)).alias("text_sha256"))
+    rows = materialised(rows.select("doc_id", "__refine", (digest if every_digest else F.when(F.col("__refine"), digest)).alias("text_sha256")))
 
     same = rows.where("__refine").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     # The key of the groups is an expression too, so that both sides are shuffled for the join itself: then Spark can split the
