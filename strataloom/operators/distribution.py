@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,3 +100,44 @@ def profile(df: DataFrame, group: str, values: Sequence[str]) -> DataFrame:
         median = percentiles_by(df, v, [0.5], [group]).select(F.col(group).alias("__group"), F.get("p", F.lit(0)).alias(f"median_{v}"))
         out = out.join(median, F.col(group).eqNullSafe(F.col("__group")), "left").drop("__group")
     return out
+
+
+def normal_equations(df: DataFrame, vector: str, target: str):
+    """X'X and X'y in numpy, X the L2-normalised vectors (null or zero ones count as zeros). Each task sums its own rows' products; the sums,
+    of dimensions squared, are added up by tree, whatever the rows."""
+    import numpy as np
+
+    def own(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total = None
+        for one in batches:
+            rows = [v for v in one.column(0).to_pylist() if v]
+            if not rows:
+                continue
+            x = np.array(rows, float)
+            y = np.array([t or 0.0 for v, t in zip(one.column(0).to_pylist(), one.column(1).to_pylist(), strict=True) if v])
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            part = np.column_stack([x.T @ x, x.T @ y])
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.shape[0]], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["dims", "sums"])
+
+    def add(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total, dims = None, 0
+        for one in batches:
+            for n, b in zip(one.column(0).to_pylist(), one.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(b)
+                total, dims = (part if total is None else total + part), n
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["dims", "sums"])
+
+    schema = "dims int, sums binary"
+    parts = df.select(F.col(vector), F.col(target).cast("double")).mapInArrow(own, schema)
+    found = parts.repartition(16).mapInArrow(add, schema).collect()  # at most 16 rows of fixed size
+    if not found:
+        return np.zeros((0, 0)), np.zeros(0)
+    whole = sum(np.frombuffer(bytes(r.sums)) for r in found).reshape(found[0].dims, found[0].dims + 1)
+    return whole[:, :-1], whole[:, -1]

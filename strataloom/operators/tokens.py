@@ -233,3 +233,30 @@ def file_windows(lengths: DataFrame, order: str, tokens: str, seq_len: int) -> D
     """Windows of each token file and the first global window of it."""
     wins = lengths.withColumn("windows", F.floor(F.col(tokens) / (seq_len + 1)))
     return running_sum(wins, None, order, "windows", "first").withColumn("first", F.col("first") - F.col("windows"))
+
+
+def block_spans(df: DataFrame, key: str, sizes: str, title: str, most: int, long: int = 512, least: int = 2) -> DataFrame:
+    """Blocks (key, first, end, block) of consecutive sentences that reach `most` less the title's length, with at least `least` sentences
+    in a block and after it. Documents with a longer sentence than `long`, or fewer than `least`, give none. Blocks are numbered over all
+    documents in the order of the key. Sequential in a document only."""
+    schema = f"{df.schema[key].simpleString().replace(':', ' ')}, first int, end int"
+
+    def walk(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for one in batches:
+            out = []
+            for i, (own, head) in enumerate(zip(one.column(1).to_pylist(), one.column(2).to_pylist(), strict=True)):
+                if not own or len(own) < least or max(own) > long:
+                    continue
+                first, total, target = 0, 0, most - (head or 0)
+                for k, n in enumerate(own):
+                    total += n
+                    rest = len(own) - k - 1
+                    if rest == 0 or (total >= target and rest >= least and k + 1 - first >= least):
+                        out.append((i, first, k + 1))
+                        first, total = k + 1, 0
+            at = one.column(0).take(pa.array([r[0] for r in out], pa.int64()))
+            yield pa.RecordBatch.from_arrays([at, *(pa.array([r[j] for r in out], pa.int32()) for j in (1, 2))], [key, "first", "end"])
+
+    return numbered(df.select(key, sizes, title).mapInArrow(walk, schema), [key, "first"], "block")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import datapath, extras, matching, selection, statistics
+from . import audits, datapath, extras, matching, selection, statistics
 from .registry import QUERIES, SQL
 
-_ = (datapath, extras, matching, statistics)  # imported to register their queries
+_ = (audits, datapath, extras, matching, statistics)  # imported to register their queries
 flagship = selection.flagship
 
 

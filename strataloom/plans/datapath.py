@@ -242,7 +242,7 @@ def domain_batches(spark, d):
     return samplers.domain_batches(spark, [0.3, 0.665, 0.035], [100, 300, 40], 20, 4)
 
 
-@query()
+@query("SELECT range AS sample, list_transform(range(0, 33), lambda i: ((('0x' || substr(md5('42:token:' || range || ':' || i), 1, 15))::BIGINT) % 32000)::INTEGER) AS input_ids FROM range(0, 100)")
 def synthetic_tokens(spark, d):
     return io.synthetic(spark, 100, 32, 32000)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import hashing, scores as sc
+from ..functions import scores as sc
 from ..operators import report
 from ..operators import tokens as tk
 from ..operators.prefix import numbered
@@ -12,12 +12,6 @@ from . import fixtures as fx
 from .registry import query
 
 
-@query("""WITH m AS (SELECT min(doc_id) AS lo, greatest(1, (max(doc_id) - min(doc_id) + 1 + 1023) // 1024) AS w FROM documents), l AS (SELECT (doc_id - lo) // w AS r, doc_id, doc_id || ':' || sha256(text) AS line FROM documents, m),
-    p AS (SELECT r, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY doc_id)) AS d FROM l GROUP BY r) SELECT sum(n)::BIGINT AS n, sha256(string_agg(d, chr(10) ORDER BY r)) AS digest FROM p""")
-def rolling_digest(spark, d):
-    return hashing.row_digest(fx.table(spark, d, "documents"), "doc_id", "text")
-
-
 @query("""WITH x AS (SELECT event_id, event_id::DOUBLE * 1000 + 7 AS x FROM events), p AS (SELECT event_id, x, least(greatest(floor(log10(greatest(abs(x), 1)) / 3), 0), 4)::INTEGER AS p FROM x), s AS (SELECT event_id, p, x / pow(1000.0, p) AS s FROM p),
     t AS (SELECT event_id, p, CASE WHEN s < 10 THEN printf('%.2f', s) WHEN s < 100 THEN printf('%.1f', s) ELSE printf('%.0f', s) END AS t FROM s) SELECT event_id, CASE WHEN contains(t, '.') THEN regexp_replace(t, '\\.?0+$', '') ELSE t END || ['', 'K', 'M', 'B', 'T'][p + 1] AS label FROM t""".replace("\\\\", "\\"))
 def human_format(spark, d):

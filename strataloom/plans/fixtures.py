@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import priority
 from ..functions.scores import consensus, disagreement
-from ..functions.text import word_count
+from ..functions.text import WEB_WORDS, word_count
 from ..operators.prefix import running_sum, total
 from ..operators.rank import average_rank_pcts
 from ..session import materialised

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, scores as sc
+from ..functions import scores as sc
 from ..operators import distribution as ds
 from ..operators import match, prefix, rank, sets as st
 from ..session import materialised
@@ -29,7 +29,7 @@ def scan_project(spark, d):
     return io.read_parquet(spark, f"{d}/documents.parquet", ["doc_id", "lang", "n_chars"]).where("lang = 'en' and n_chars > 500")
 
 
-@query()
+@query("SELECT * FROM documents")
 def jsonl_roundtrip(spark, d):
     return io.jsonl_roundtrip(fx.table(spark, d, "documents"))
 
@@ -357,11 +357,3 @@ def set_profiles(spark, d):
     df = fx.alive(spark, d)
     rows = st.tagged(fx.sets(df), "doc_id").join(df.withColumn("q", F.col("q").cast("double")), "doc_id")
     return ds.profile(rows, "set", ["tok", "q"]).select("set", "docs", F.round("mean_tok", 4).alias("mean_tok"), "min_tok", F.round("median_tok", 4).alias("median_tok"), r6(F.col("mean_q"), "mean_q"))
-
-
-_DIGEST = """b AS (SELECT ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 1024 AS bucket, count(*) AS n, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS d FROM consensus GROUP BY bucket)"""
-
-
-@query(f"WITH {fx.SETS}, {_DIGEST} SELECT sum(n)::BIGINT AS n, sha256(string_agg(d, ',' ORDER BY bucket)) AS digest FROM b")
-def set_digest(spark, d):
-    return hashing.set_digest(fx.sets(fx.alive(spark, d))["consensus"], "doc_id")

@@ -219,20 +219,10 @@ def topic_three_way(spark, d):
 
 @query()
 def ridge(spark, d):
-    """Ridge regression on L2-normalised embeddings by normal equations: sums of products by pair of dimensions, solved on the
-    driver (dimensions squared, whatever the rows)."""
+    """Ridge regression on L2-normalised embeddings by normal equations, solved on the driver."""
     import numpy as np
 
     e = fx.table(spark, d, "embeddings").select("embedding", F.col("label").cast("double").alias("y"))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    rows = e.select(F.transform("embedding", lambda x: x / norm).alias("x"), "y")
-    n = len(rows.first().x)
-    cells = rows.select("y", F.posexplode("x").alias("i", "xi"), "x").select("i", "xi", "y", F.posexplode("x").alias("j", "xj"))
-    gram = cells.groupBy("i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("g")).collect()
-    right = rows.select("y", F.posexplode("x").alias("i", "xi")).groupBy("i").agg(F.sum(F.col("xi") * F.col("y")).alias("b")).collect()
-    a, b = np.eye(n), np.zeros(n)
-    for r in gram:
-        a[r.i, r.j] += r.g
-    for r in right:
-        b[r.i] = r.b
-    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(np.linalg.solve(a, b))], "dim int, coef double")
+    a, b = ds.normal_equations(e, "embedding", "y")
+    solved = np.linalg.solve(np.eye(len(b)) + a, b) if len(b) else []
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(solved)], "dim int, coef double")

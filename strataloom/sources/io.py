@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,7 +192,7 @@ def get_slice(indexed: DataFrame, ids: str, offset: int, length: int | None = No
 def synthetic(spark: SparkSession, rows: int, seq_len: int, vocabulary: int, seed: int = 42) -> DataFrame:
     """Seeded random token windows."""
     at = F.sequence(F.lit(0), F.lit(seq_len))
-    token = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(vocabulary)).cast("int")
+    token = lambda i: F.pmod(priority("token", F.col("id"), i, seed=seed), F.lit(vocabulary)).cast("int")
     return spark.range(rows).select(F.col("id").alias("sample"), F.transform(at, token).alias("input_ids"))
 
 
@@ -199,3 +200,123 @@ def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(path, bytes) of files whose name matches a regular expression, at any depth, by Spark's own file listing."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"))
     return rows.where(F.element_at(F.split("path", "/"), -1).rlike(pattern))
+
+
+# --- Token folders ---------------------------------------------------------------------------------------------------------------
+def folder_files(files: DataFrame, name: str, tokens: str, seq_len: int, skip_tokens: int = 0, max_tokens: int | None = None) -> DataFrame:
+    """(name, tokens, skipped, windows) of the files of a folder that are read, in the order of their names: windows of seq_len + 1 tokens
+    of a file after what is left of skip_tokens, until max_tokens are reached. A file that is skipped whole, or lies past the limit, goes."""
+    size = seq_len + 1
+    rows = running_sum(files.withColumn("__windows", F.floor(F.col(tokens) / size)), None, name, "__windows", "__upto")
+    rows = rows.withColumn("__before", F.col("__upto") - F.col("__windows"))
+    # a file gives up windows to the skip until as many tokens as asked for are gone
+    skip = -(-skip_tokens // size)
+    rows = rows.withColumn("skipped", F.least(F.greatest(F.lit(skip) - F.col("__before"), F.lit(0)), F.col("__windows")))
+    rows = rows.withColumn("windows", F.col("__windows") - F.col("skipped"))
+    if max_tokens is not None:
+        room = F.lit(max_tokens // size) - F.greatest(F.col("__before") - skip, F.lit(0))
+        rows = rows.withColumn("windows", F.greatest(F.least(F.col("windows"), room), F.lit(0)))
+    return rows.where("windows > 0").select(name, tokens, "skipped", "windows")
+
+
+def folder_items(items: DataFrame, item: str, files: DataFrame, name: str, shuffle: str | None = None, seed: int = 42) -> DataFrame:
+    """(item, epoch, name, window): which window of which file each item of an endless folder is; items past its end start it over. Files
+    stand in the order of their names, or in a seeded one if shuffle names a stream. The file is found by an equi-join on blocks of the
+    axis of windows."""
+    from ..operators.match import locate
+
+    keyed = files.withColumn("__order", priority(shuffle, F.col(name), seed=seed) if shuffle else F.lit(0))
+    spans = running_sum(keyed, None, ["__order", name], "windows", "__end").withColumn("__start", F.col("__end") - F.col("windows"))
+    n = files.agg(F.coalesce(F.sum("windows"), F.lit(0))).scalar()
+    points = items.withColumns({"epoch": F.floor(F.col(item) / n), "__at": F.col(item) % n})
+    found = locate(points, "__at", spans, "__start", "windows")
+    return found.select(item, "epoch", name, (F.col("__at") - F.col("__start") + F.col("skipped")).alias("window"))
+
+
+def parallel_index(samples: DataFrame, dataset: str, sample: str, wanted: int, seed: int = 42) -> DataFrame:
+    """(pos, dataset, sample): one epoch's rows in one seeded order, for both columns alike, tiled until there are `wanted`."""
+    placed = numbered(samples.withColumn("__tie", priority("index", F.col(dataset), F.col(sample), seed=seed)), ["__tie", dataset, sample], "__at").drop("__tie")
+    n = samples.agg(F.count("*")).scalar()
+    turns = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.lit(wanted - 1) / n)))
+    return placed.withColumn("__turn", turns).select((F.col("__turn") * n + F.col("__at")).alias("pos"), dataset, sample).where(F.col("pos") < wanted)
+
+
+def choose_buckets(size: Column, memory: Column, inflate: float = 4.0, share: float = 0.55, least: int = 16) -> Column:
+    """Buckets of a two-pass shuffle: twice the text in memory over a share of it. Spark's own shuffle needs none; kept to size exports."""
+    return F.greatest(F.lit(least), F.ceil(2.0 * size * inflate / (share * memory))).cast("long")
+
+
+def bucketed_order(key: Column, buckets: int, seed: int = 42) -> list[Column]:
+    """Sort keys of a bucketed shuffle: the bucket of a row, and its place in it."""
+    return [F.pmod(priority("bucket", key, seed=seed), F.lit(buckets)), priority("inside", key, seed=seed)]
+
+
+def worker_shards(shards: DataFrame, shard: str, workers: int, finished: DataFrame) -> DataFrame:
+    """shards still to do, with the worker of each."""
+    return shards.join(finished.select(shard), shard, "left_anti").withColumn("worker", F.col(shard) % workers)
+
+
+# --- Small sources and sinks -----------------------------------------------------------------------------------------------------
+def read_split(spark: SparkSession, path: str, split: str, config: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """One split of a dataset kept as path/[config/]split*.parquet or split*.jsonl, on any file system."""
+    folder = f"{path}/{config}" if config else path
+    for pattern, reader in ((f"{split}*.parquet", spark.read.parquet), (f"{split}*.jsonl", spark.read.json)):
+        try:
+            df = reader(f"{folder}/{pattern}")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        else:
+            return df.select(*columns) if columns else df
+    raise FileNotFoundError(f"{folder} has no split {split}")
+
+
+def placeholder(spark: SparkSession, rows: int) -> DataFrame:
+    """A table without columns that has a length."""
+    return spark.range(rows).select()
+
+
+def cached(spark: SparkSession, folder: str, params: dict, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s table, kept in folder under the md5 of its parameters as JSON: made once, read afterwards. A table without its success mark,
+    as a broken run leaves it, is made again."""
+    path = f"{folder}/{hashlib.md5(json.dumps(params, sort_keys=True).encode()).hexdigest()}"
+    fs, done = _file(spark, f"{path}/_SUCCESS")
+    if not fs.exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def list_cached(spark: SparkSession, folder: str, path: str, pattern: str) -> DataFrame:
+    """list_files(), kept by path and pattern."""
+    return cached(spark, folder, {"path": path, "pattern": pattern}, lambda: list_files(spark, path, pattern))
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def copy_bytes(spark: SparkSession, source: str, target: str) -> None:
+    """Copy a file under a temporary name, then rename it: a reader sees all of it or nothing."""
+    (fs, a), (to, b), (_, part) = _file(spark, source), _file(spark, target), _file(spark, f"{target}.tmp-{uuid.uuid4()}")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, to, part, False, conf):
+        raise OSError(f"can't copy {source}")
+    if to.exists(b):
+        to.delete(b, False)
+    if not to.rename(part, b):
+        raise OSError(f"can't rename to {target}")
+
+
+def update_manifest(spark: SparkSession, path: str, change: Callable[[dict], dict]) -> dict:
+    """Read, change and rewrite a manifest; one writer at a time, which a lock file beside it sees to."""
+    fs, lock = _file(spark, f"{path}.lock")
+    if not fs.createNewFile(lock):
+        raise RuntimeError(f"{path} is being written")
+    try:
+        there, at = _file(spark, path)
+        new = change(read_manifest(spark, path) if there.exists(at) else {})
+        write_manifest(spark, new, path)
+        return new
+    finally:
+        fs.delete(lock, False)
