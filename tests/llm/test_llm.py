@@ -188,6 +188,25 @@ def test_jaccard_components(spark, docs, few):
     assert got == want
 
 
+def test_jaccard_family_over_a_block(spark):
+    """More near copies than a block holds, all linked by chains, among families that are only near each other."""
+    rng = random.Random(11)
+    make = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    rows, base = [], make(90)
+    for i in range(jaccard.BLOCK + 300):
+        near = list(base)
+        for k in rng.sample(range(90), rng.choice([1, 1, 2, 3])):
+            near[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(near)))
+    for i in range(400):  # a second one, over FAMILY, with two thirds of the words
+        near = base[:60] + [f"z{k}" for k in range(30)]
+        near[rng.randrange(60)] = f"f{i}"
+        rows.append((5000 + i, " ".join(near)))
+    rng.shuffle(rows)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect())
+    assert got == sorted(brute_components(rows)) and len({c for *_, c in got}) > 1
+
+
 def test_jaccard_dedup_keeps_a_row_of_each_component(spark, docs):
     far = [(2, "a text whose id a dropped copy has"), (None, "no id at all in these"), (None, "no id at all in these")]
     near = [(1, "n o p q r s t u v w x y z a b c d e f g"), (1, "n o p q r s t u v w x y z a b c d e f h"), (2, "n o p q r s t u v w x y z a b c d e f g"), (3, ""), (3, "")]
