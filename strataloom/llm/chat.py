@@ -9,8 +9,9 @@ Encoding is by turn, so a conversation of any length is spread over all tasks; o
 are read in order as a stream.
 
 Defined results: null text and null role count as empty; only the role `assistant` is under the loss mask. Turns of a conversation go by
-turn (null first), then role, then text, so that repeated rows have a defined order. Rows whose conversation is null are one conversation. Extra columns
-are ignored; an empty table gives an empty result.
+turn (null first), then role, then text, so that repeated rows have a defined order. Rows whose conversation is null are one conversation. A very long text is one
+turn, encoded whole; a very long conversation is encoded by all tasks and hashed by one, as a stream in constant memory. Extra columns
+are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

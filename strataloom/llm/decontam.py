@@ -9,6 +9,8 @@ characters; the automaton of one block is what a task holds. Several blocks are
 
 Defined results: null or empty texts and items match nothing. Items of fewer than MIN_CHARS characters are left out unless `short`
 asks for them (the query and the pipeline do): then they match exactly, and not within a longer word. Items with null ids or repeated ids are reported under the id they have. Rows repeat freely.
+Very long texts are searched whole, in linear time but for verification of hits. Of other columns only key and text are read (decontaminate()
+returns all columns as they are, whatever their names); an empty table of texts or items gives no hits.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ is `.` + host + `\n` + path; a pattern is two globs, one for the host and one fo
 feed loops on all bytes but the line feed, so that it can't run out of the host; the first line feed is always the separator,
 as a host's own line feeds are written as `\x00`.
 
-Defined results: a null URL, or one without `://`, has empty host and path and fits no rule. Rows repeat and tie freely. Among
-rules that fit, the longest wins; equal lengths go by the order of the list.
+Defined results: a null URL, or one without `://`, has empty host and path and fits no rule. A very long URL is judged whole. Rows repeat
+and tie freely. Among rules that fit, the longest wins; equal lengths go by the order of the list. Extra columns pass through, whatever
+their names (columns called host, path, rule or verdict are replaced). An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ GLOBS = [
 
 def canonical(url: str = "url") -> tuple:
     """Columns host and path of a URL column."""
-    text = F.coalesce(F.col(url), F.lit(""))
+    text = F.coalesce(F.col(f"`{url}`"), F.lit(""))
     at = F.locate("://", text)
     rest = F.when(at > 0, F.substring(text, at + 3, F.length(text))).otherwise("")
     host = F.regexp_extract(rest, r"(?s)^[^/?#]*", 0)
