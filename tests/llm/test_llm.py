@@ -198,7 +198,7 @@ def test_jaccard_family_over_a_block(spark):
         for k in rng.sample(range(90), rng.choice([1, 1, 2, 3])):
             near[k] = f"e{i}x{k}"
         rows.append((i, " ".join(near)))
-    for i in range(400):  # a second one, over FAMILY, with two thirds of the words
+    for i in range(400):  # a second one, with two thirds of the words
         near = base[:60] + [f"z{k}" for k in range(30)]
         near[rng.randrange(60)] = f"f{i}"
         rows.append((5000 + i, " ".join(near)))
