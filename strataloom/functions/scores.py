@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def accumulation(batch: Column, micro: Column, ranks: Column) -> Column:
+    """Gradient accumulation steps of a global batch; null where it does not divide."""
+    return F.when(batch % (micro * ranks) == 0, (batch / (micro * ranks)).cast("long"))
+
+
+def training_steps(tokens: Column, epochs: int, batch_tokens: int = 2_097_152) -> Column:
+    return F.round(epochs * tokens / batch_tokens).cast("long")
+
+
 def train_length(tokens: Column) -> Column:
     """Tokens of a document in training: one end-of-document token is appended."""
     return tokens + 1

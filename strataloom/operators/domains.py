@@ -26,6 +26,12 @@ def excess(losses: DataFrame, loss: str, reference: str, out: str = "loss") -> D
     return losses.withColumn(out, F.greatest(F.col(loss) - F.col(reference), F.lit(0.0)))
 
 
+def with_history(history: DataFrame | None, weights: DataFrame, step: int) -> DataFrame:
+    """The weights of a step after those of the steps before; a step that is there already is replaced."""
+    now = weights.withColumn("step", F.lit(step))
+    return now if history is None else history.where(F.col("step") != step).unionByName(now.select(*history.columns))
+
+
 def count_weights(counts: DataFrame, n: str) -> DataFrame:
     """Weights in proportion to a count (of samples, or of tokens)."""
     return counts.withColumn("weight", F.col(n) / F.sum(n).over(Window.partitionBy()))  # one row a domain

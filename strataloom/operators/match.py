@@ -115,9 +115,18 @@ def pivot_prompts(df: DataFrame, key: str, prompt: str, value: str, prompts: Seq
     return df.groupBy(key).pivot(prompt, list(prompts)).agg(F.first(value))
 
 
-def dense_code(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Codes 0.. of the sorted vocabulary; rows with a null value go."""
-    return df.join(codes_of(df, value, out), value)
+def dense_code(df: DataFrame, value: str, out: str, size: int | None = None) -> DataFrame:
+    """Codes 0.. of the sorted vocabulary; rows with a null value go. size: what the vocabulary must number, or this raises."""
+    codes = codes_of(df, value, out)
+    if size is not None and (found := codes.count()) != size:
+        raise ValueError(f"{value} has {found} values, not {size}")
+    return df.join(codes, value)
+
+
+def take(addresses: DataFrame, shard: str, row: str, table: DataFrame, key: str, rows_a_shard: int, columns: Sequence[str]) -> DataFrame:
+    """(shard, row, columns) of rows by positional address; raises if an address has no row."""
+    wanted = addresses.select(shard, row, (F.col(shard) * rows_a_shard + F.col(row)).alias("__key"))
+    return lookup(wanted, table.select(F.col(key).alias("__key"), *columns), "__key", must_match=True).drop("__key")
 
 
 def config_differences(a: DataFrame, b: DataFrame, allowed: Sequence[str]) -> DataFrame:

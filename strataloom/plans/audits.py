@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import digests, hashing, scores as sc
 from ..functions.text import word_count
-from ..operators import audit, prefix, sets as st
+from ..operators import audit, domains, match, prefix, samplers, sets as st
 from ..operators import tokens as tk
 from ..operators.rank import average_rank_pct
 from ..session import materialised, shared_folder
@@ -258,3 +258,57 @@ def placeholder(spark, d):
 @query("SELECT doc_id, (3.0 * (16 * (2.0 * (doc_id % 4096 + 1) * 1024 * (16 + 2 * 4) * 64 + 4.0 * 16 * (doc_id % 4096 + 1) * (doc_id % 4096 + 1) * 64 + 2.0 * (doc_id % 4096 + 1) * 16 * 64 * 1024 + 6.0 * (doc_id % 4096 + 1) * 1024 * 4096) + 2.0 * (doc_id % 4096 + 1) * 1024 * 32000))::DOUBLE AS flops FROM documents")
 def decoder_flops(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", sc.decoder_flops(16, 1024, 16, 4, 32000, (F.col("doc_id") % 4096 + 1).cast("double"), 4096).alias("flops"))
+
+
+# --- Smaller pieces ------------------------------------------------------------------------------------------------------------------------
+@query("SELECT DISTINCT doc_id // 100 AS shard, 3::BIGINT AS \"row\", n_chars FROM documents WHERE doc_id % 100 = 3")
+def address_take(spark, d):
+    docs = fx.table(spark, d, "documents")
+    wanted = docs.where("doc_id % 100 = 3").select(F.floor(F.col("doc_id") / 100).alias("shard"), F.lit(3).cast("long").alias("row"))
+    return match.take(wanted, "shard", "row", docs, "doc_id", 100, ["n_chars"])
+
+
+@query("SELECT mbs, dp, CASE WHEN 1024 % (mbs * dp) = 0 THEN 1024 // (mbs * dp) END AS accum, round(3 * n_chars * 1000.0 / 2097152)::BIGINT AS steps FROM (SELECT doc_id % 5 + 1 AS mbs, doc_id % 4 + 1 AS dp, n_chars FROM documents)")
+def step_arithmetic(spark, d):
+    rows = fx.table(spark, d, "documents").select((F.col("doc_id") % 5 + 1).alias("mbs"), (F.col("doc_id") % 4 + 1).alias("dp"), "n_chars")
+    return rows.select("mbs", "dp", sc.accumulation(F.lit(1024), F.col("mbs"), F.col("dp")).alias("accum"), sc.training_steps(F.col("n_chars") * 1000, 3).alias("steps"))
+
+
+@query(r"SELECT doc_id, length(text) AS chars, round(len(regexp_extract_all(text, '\S+')) / nullif(length(text), 0), 6) AS tokens_a_char FROM documents")
+def token_density(spark, d):
+    docs = fx.table(spark, d, "documents")
+    return docs.select("doc_id", F.length("text").cast("long").alias("chars"), F.round(word_count(F.col("text")) / F.nullif(F.length("text"), F.lit(0)), 6).alias("tokens_a_char"))
+
+
+@query("SELECT setting, seed, epoch, shard, suffix FROM (SELECT 's' || user_id % 4 AS setting, event_id % 3 AS seed, event_id // 3 % 2 AS epoch, event_id % 1000 AS shard, event_type AS suffix FROM events)")
+def path_labels(spark, d):
+    """Labels made into paths and parsed back."""
+    part = lambda pattern: F.regexp_extract("path", pattern, 1)
+    e = fx.table(spark, d, "events")
+    path = F.concat(F.lit("/r/s"), F.col("user_id") % 4, F.lit("/seed"), F.col("event_id") % 3, F.lit("/epoch"), F.floor(F.col("event_id") / 3) % 2, F.lit("/part-"), F.lpad((F.col("event_id") % 1000).cast("string"), 5, "0"), F.lit("."), F.col("event_type"))
+    rows = e.select(path.alias("path"))
+    return rows.select(part("/r/(s[0-9]+)/").alias("setting"), part("/seed([0-9]+)/").cast("long").alias("seed"), part("/epoch([0-9]+)/").cast("long").alias("epoch"), part("part-0*([0-9]+)[.]").cast("long").alias("shard"), part("[.]([^./]+)$").alias("suffix"))
+
+
+@query("SELECT 0 AS repeated, (SELECT count(*) FROM documents) AS samples")
+def rank_batches(spark, d):
+    """No sample of a strided deal is read by two ranks, and none is left out."""
+    n = fx.table(spark, d, "documents").count()
+    dealt = samplers.strided(spark, n, 4)
+    by = dealt.groupBy("sample").agg(F.countDistinct("rank").alias("n"))
+    return by.agg(F.count_if(F.col("n") > 1).alias("repeated"), F.count("*").alias("samples"))
+
+
+@query("SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS pos FROM documents")
+def total_order(spark, d):
+    df = fx.table(spark, d, "documents").select("doc_id", "n_chars")
+    ranked = prefix.running_sum(df.withColumn("one", F.lit(1)), "n_chars", "doc_id", "one", "pos")
+    return ranked.select("doc_id", "n_chars", (F.col("pos") - 1).alias("pos"))
+
+
+@query("WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY source), h AS (SELECT source, n, 1 AS step FROM g UNION ALL SELECT source, n * n, 2 FROM g) SELECT source, step, round(n / sum(n) OVER (PARTITION BY step), 6) AS weight FROM h")
+def weight_history(spark, d):
+    by = fx.table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    weights = lambda c: domains.count_weights(by.select("source", c.alias("n")), "n").select("source", F.round("weight", 6).alias("weight"))
+    first = domains.with_history(None, weights(F.col("n") + 1), 2)
+    return domains.with_history(domains.with_history(first, weights(F.col("n")), 1), weights(F.col("n") * F.col("n")), 2).select("source", "step", "weight")
