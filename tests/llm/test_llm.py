@@ -207,6 +207,37 @@ def test_jaccard_family_over_a_block(spark):
     assert got == sorted(brute_components(rows)) and len({c for *_, c in got}) > 1
 
 
+@pytest.mark.parametrize("hot", [3, jaccard.HOT_ROWS])
+def test_components_of_stars(spark, hot):
+    rng = random.Random(11)
+    links = [(1000, x) for x in range(1001, 1060)] + [(x, 3000) for x in range(2900, 2960)] + [(5000 + x, 5001 + x) for x in range(40)]
+    links += [(rng.randrange(10_000, 10_300), rng.randrange(10_000, 10_300)) for _ in range(260)] + [(7, 7), (1030, 2930), (1000, 1001)]
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    rng.shuffle(links)
+    frame = spark.createDataFrame(links, "u long, v long")
+    labels = jaccard.components(frame, hot)
+    assert sorted(map(tuple, labels.collect())) == sorted((x, find(x)) for x in linked)
+    classes = spark.createDataFrame([(x, x * 2) for x in sorted(linked | {7, 8})], "node long, first long")
+    table = classes.select((F.col("first") * 1).alias("doc_id"), "node", F.lit(1).cast("long").alias("n_shingles"))
+    got = jaccard._named(table, classes, labels, hot).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((2 * x, 2 * find(x)) for x in linked | {7, 8})
+
+
+def test_components_without_links(spark):
+    for rows in ([], [(4, 4)]):
+        assert jaccard.components(spark.createDataFrame(rows, "u long, v long"), 3).collect() == []
+
+
 def test_jaccard_dedup_keeps_a_row_of_each_component(spark, docs):
     far = [(2, "a text whose id a dropped copy has"), (None, "no id at all in these"), (None, "no id at all in these")]
     near = [(1, "n o p q r s t u v w x y z a b c d e f g"), (1, "n o p q r s t u v w x y z a b c d e f h"), (2, "n o p q r s t u v w x y z a b c d e f g"), (3, ""), (3, "")]
