@@ -14,7 +14,7 @@ from ..operators.rank import average_rank_pct
 from ..session import materialised, shared_folder
 from ..sources import io
 from . import fixtures as fx
-from .datapath import TOKENS, _docs
+from .datapath import TOKENS, _docs, walked_sentences
 from .registry import query
 from .selection import BUDGET
 
@@ -203,7 +203,8 @@ def folder_items(spark, d):
     return io.folder_items(spark.range(500).withColumnRenamed("id", "item"), "item", materialised(_folder(spark, d)), "file", shuffle="files")
 
 
-@query()
+@query(f"""WITH RECURSIVE {walked_sentences("120 - doc_id % 9", "total >= want AND rest >= 2 AND size >= 2")}
+    SELECT doc_id, first::INTEGER AS first, (k + 1)::INTEGER AS end, (row_number() OVER (ORDER BY doc_id, first) - 1)::BIGINT AS block FROM step WHERE done AND k >= 0""")
 def block_mapping(spark, d):
     docs = fx.table(spark, d, "documents")
     sizes = docs.select("doc_id", F.transform(F.split("text", r"\.\s"), lambda s: word_count(s).cast("int")).alias("sizes"), (F.col("doc_id") % 9).cast("int").alias("title"))

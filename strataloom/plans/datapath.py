@@ -180,13 +180,31 @@ def sft_valid_filter(spark, d):
     return rows.where(tk.valid_example(F.col("position_ids"), F.col("label_mask"))).select("conv_id", "turn")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SFT}, r AS (SELECT conv_id, turn, len(p)::BIGINT AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM s),
+    b AS (SELECT conv_id, turn, k, 0::BIGINT AS bin, 0::BIGINT AS bin_offset, n AS used FROM r WHERE k = 1
+        UNION ALL SELECT r.conv_id, r.turn, r.k, CASE WHEN used > 0 AND used + n > 128 THEN bin + 1 ELSE bin END, CASE WHEN used > 0 AND used + n > 128 THEN 0 ELSE used END, CASE WHEN used > 0 AND used + n > 128 THEN n ELSE used + n END
+        FROM b JOIN r ON r.conv_id = b.conv_id AND r.k = b.k + 1)
+    SELECT conv_id, turn, bin, bin_offset FROM b""")
 def sft_packing(spark, d):
     rows = _pairs(spark, d).select("conv_id", "turn", F.size("p").alias("n"))
     return tk.pack_examples(rows, "turn", "n", 128, "conv_id")
 
 
-@query()
+def walked_sentences(want: str, stop: str) -> str:
+    """CTEs that walk each document's sentences in order: step(doc_id, k, first, want, done), with sentence k the last of a span where
+    done. want: a span's target by doc_id and first; stop: whether it ends at k, by total, want, rest (sentences left) and size (of the span)."""
+    return f"""split AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '\\.\\s'), lambda s: len(regexp_extract_all(s, '\\S+'))) AS sizes FROM documents WHERE text IS NOT NULL),
+    one AS (SELECT doc_id, unnest(sizes) AS n, unnest(range(0, len(sizes))) AS k, len(sizes) AS count FROM split WHERE len(sizes) >= 2 AND list_max(sizes) <= 512),
+    step AS (SELECT DISTINCT doc_id, -1::BIGINT AS k, 0::BIGINT AS first, 0::BIGINT AS want, 0::BIGINT AS total, true AS done FROM one
+        UNION ALL SELECT doc_id, k, first, want, total, rest = 0 OR ({stop}) FROM (SELECT *, k + 1 - first AS size, {want} AS want FROM (
+            SELECT one.doc_id, one.k, CASE WHEN done THEN one.k ELSE first END AS first, one.n + CASE WHEN done THEN 0 ELSE total END AS total, count - one.k - 1 AS rest FROM step JOIN one ON one.doc_id = step.doc_id AND one.k = step.k + 1)))"""
+
+
+_HASH = "('0x' || substr(md5('span:' || doc_id || ':' || first), 1, 8))::BIGINT"
+
+
+@query(f"""WITH RECURSIVE {walked_sentences(f"CASE WHEN ({_HASH} >> 8) % 1000 < 100 THEN 2 + {_HASH} % 119 ELSE 120 END", "total >= want AND rest > 1 AND size >= 2")}
+    SELECT doc_id, first::INTEGER AS first, (k + 1)::INTEGER AS end, want::INTEGER AS target FROM step WHERE done AND k >= 0""")
 def span_mapping(spark, d):
     docs = fx.table(spark, d, "documents")
     sizes = docs.select("doc_id", F.transform(F.split("text", r"\.\s"), lambda s: word_count(s).cast("int")).alias("sizes"))
