@@ -233,6 +233,15 @@ def test_components_of_stars(spark, hot):
     assert sorted((r.doc_id, r.component_id) for r in got) == sorted((2 * x, 2 * find(x)) for x in linked | {7, 8})
 
 
+@pytest.mark.parametrize("hot", [1500, jaccard.HOT_ROWS])
+def test_family_labels_say_their_size(spark, hot):
+    sizes = {1 << 10: 9 * jaccard.FAMILY, 2 << 10: jaccard.FAMILY + 1, 3 << 10: jaccard.FAMILY, 4 << 10: 1}
+    rows = [(100 * label + i, label) for label, n in sizes.items() for i in range(n)]
+    got = jaccard._stepped(spark.createDataFrame(rows, "node long, label long"), hot).collect()
+    steps = {1 << 10: 2, 2 << 10: 1, 3 << 10: 0, 4 << 10: 0}
+    assert sorted(map(tuple, got)) == sorted((node, label + steps[label]) for node, label in rows)
+
+
 def test_components_without_links(spark):
     for rows in ([], [(4, 4)]):
         assert jaccard.components(spark.createDataFrame(rows, "u long, v long"), 3).collect() == []
