@@ -20,9 +20,8 @@ DOCUMENT = T.StructType([T.StructField("id", T.StringType()), T.StructField("tex
 
 
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str], glob: str | None = None) -> DataFrame:
-    """A pruned scan; glob filters file names."""
-    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
-    return reader.parquet(path).select(*columns)
+    """A pruned scan; glob names the tables in a folder, each a file or a folder of files."""
+    return spark.read.parquet(f"{path}/{glob}" if glob else path).select(*columns)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT, glob: str | None = None) -> DataFrame:

@@ -139,3 +139,14 @@ def test_small_sources_and_sinks(spark, tmp_path):
         assert io.update_manifest(spark, str(tmp_path / "m"), lambda m: {**m, "runs": m.get("runs", 0) + 1})["runs"] == n
     assert json.loads(json.dumps(io.read_manifest(spark, str(tmp_path / "m")))) == {"runs": 2}
     assert io.placeholder(spark, 7).count() == 7 and io.placeholder(spark, 7).columns == []
+
+
+def test_parquet_glob_reads_folders_and_files(spark, tmp_path):
+    df = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(5).write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalogue.queries()["parquet_glob"](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(20))
+    one = next((tmp_path / "documents.parquet").glob("part-*"))
+    one.rename(tmp_path / "documents-2.parquet")  # a file beside the folder
+    assert sorted(r.doc_id for r in catalogue.queries()["parquet_glob"](spark, str(tmp_path)).collect()) == list(range(20))
