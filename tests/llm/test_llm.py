@@ -6,17 +6,20 @@ import math
 import random
 import re
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from oracle import check, connect  # noqa: E402
 
-from strataloom.llm import bpe, chat, decontam, dedup, jaccard, langid, lm, pii, queries, sharding, urls  # noqa: E402
+from strataloom.session import shared_folder  # noqa: E402
+from strataloom.llm import bpe, chat, common, decontam, dedup, jaccard, langid, lm, pii, queries, sharding, urls  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -207,6 +210,39 @@ def test_jaccard_family_over_a_block(spark):
     assert got == sorted(brute_components(rows)) and len({c for *_, c in got}) > 1
 
 
+def test_checkpoints_leave_no_shuffle_files(spark):
+    def shuffled() -> int:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).getName().startswith("shuffle") for i in range(files.size()))
+
+    df = spark.range(10_000).withColumn("k", F.md5(F.col("id").cast("string"))).repartition(4, "k").groupBy("k").count()
+    before = shuffled()
+    out = common.checkpointed(df)
+    deadline = time.time() + 10
+    while shuffled() > before and time.time() < deadline:  # files go in the background
+        time.sleep(0.1)
+    assert shuffled() <= before and out.count() == 10_000
+
+
+def test_jaccard_deletes_its_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    top = Path(shared_folder(spark).removeprefix("file:"))
+    held = lambda: sum(p.stat().st_size for p in top.rglob("part-*"))
+    before = held()
+    assert jaccard.join(docs).count() == docs.count()
+    assert held() - before < 200 * docs.count()  # what is left are rows and edges, without sets and signatures
+
+
+def test_jaccard_turns(spark, docs, monkeypatch):
+    entries = lambda df: sorted(x for r in df.where("kind = 2").collect() for x in np.frombuffer(r.payload, jaccard._ENTRY).tolist())
+    rows = docs.select("doc_id", "text").coalesce(1)
+    parts = [entries(jaccard._scan(rows, 3, t, 4)) for t in range(4)]
+    assert all(parts) and sorted(x for p in parts for x in p) == entries(jaccard._scan(rows, 3))
+    want = sorted(jaccard.join(docs).collect(), key=str)
+    monkeypatch.setattr(jaccard, "_turns", lambda *_: 3)
+    assert sorted(jaccard.join(docs).collect(), key=str) == want
+
+
 @pytest.mark.parametrize("hot", [3, jaccard.HOT_ROWS])
 def test_components_of_stars(spark, hot):
     rng = random.Random(11)
