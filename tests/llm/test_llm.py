@@ -243,6 +243,18 @@ def test_jaccard_turns(spark, docs, monkeypatch):
     assert sorted(jaccard.join(docs).collect(), key=str) == want
 
 
+def test_jaccard_slices_by_size(spark, docs, monkeypatch):
+    """A small table's signatures travel in one slice; in more, each task sends every bucket as many messages more."""
+    slices, scan = [], jaccard._scan
+    monkeypatch.setattr(jaccard, "_scan", lambda docs, n, turn, turns: slices.append((turn, turns)) or scan(docs, n, turn, turns))
+    want = sorted(jaccard.join(docs).collect(), key=str)
+    assert slices == [(0, 1)]
+    monkeypatch.setattr(jaccard, "SLICE_BYTES", 1 + docs.agg(F.sum(F.octet_length("text"))).first()[0] // 3)
+    assert sorted(jaccard.join(docs).collect(), key=str) == want and slices[1:] == [(0, 3), (1, 3), (2, 3)]
+    monkeypatch.setattr(jaccard, "SLICE_BYTES", 1)
+    assert jaccard._slices(docs) == jaccard.TURNS and jaccard._slices(docs.limit(0)) == 1
+
+
 @pytest.mark.parametrize("hot", [3, jaccard.HOT_ROWS])
 def test_components_of_stars(spark, hot):
     rng = random.Random(11)
