@@ -4,15 +4,16 @@ Base rules find well-formed spans of four kinds, leftmost and non-overlapping pe
 generators propose further spans, which may overlap: every number of groups that a phone number could have, cards inside a longer run
 of digits, defanged hosts, spelled-out addresses, and strings that may be credentials. Each proposal is normalised ("[at]" is "@", a
 country code goes), described by its format and by the characters and words around it, and scored by boosted trees. A threshold per
-kind, calibrated on rows that the trees have not seen, selects what is redacted. Base spans always stay; a selected span that
+kind, calibrated by odds of rows that the trees behind them have not seen, selects what is redacted. Base spans always stay; a selected span that
 overlaps a base span, or a better selected one, goes.
 
-The trees learn from the corpus itself. A hash sample of TRAIN_ROWS rows is labelled by the base rules: a proposal that equals a base
+The trees learn from the corpus itself, all of it. Every row is labelled by the base rules: a proposal that equals a base
 span is one; one that lies inside a match that the rules dropped whole, or that only lacks the sign the rules ask for, teaches nothing;
 all others are none. What the rules ask for literally (the plus of a phone number, the @ of an address) isn't a feature, so that format
 and context must tell. Vectors drawn evenly over the range of the features are negatives too, so that unseen formats are left alone. Credentials have no base rule: they are labelled by the words before them and learned by their format alone.
-Texts over TRAIN_CHARS aren't learned from (all are searched). A native query counts proposals by feature vector; fitting reads the
-VECTORS most frequent ones of each kind. The fitted trees are a column expression, so scoring needs no Python.
+A native query counts the proposals of all whole texts by feature vector; fitting reads all counts, which the ranges of the features bound
+whatever the corpus (packed to a long each). Trees are grown on all counts; each half of the rows by hash calibrates the trees
+grown on the other one, and both together give the threshold. The fitted trees are a column expression, so scoring needs no Python.
 
 Positions come from the lengths of matches and of the text between them, in code points, summed in blocks, so that a text with very
 many matches takes linear time. Patterns are possessive or bounded and anchored at the start of a run.
@@ -30,7 +31,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
@@ -69,7 +70,7 @@ WORDS = {
 ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|api.?key|access.?key|auth|bearer|credential)[\"' ]*[=:]?[\"' ]*$"
 OTHER = r"(?:version|order|invoice|no\.|page|isbn|date|vol|section|article|total|id|ref)\W*$"
 TOP = r"(?i)\.(?:com|org|net|edu|gov|mil|int|io|info|biz|de|fr|es|uk|it|eu|us|ca|ch|at|nl)$"
-TRAIN_ROWS, TRAIN_CHARS, VECTORS = 20_000, 100_000, 4_000
+FEATURE_BITS = 5  # a feature is less than 2**5, so that a vector fits into a long
 ROUNDS, RATE, DEPTH, PRECISION, REFERENCE = 24, 0.4, 3, 0.95, 2_000
 BLOCK = 256
 _SPAN = "struct<start:int,end:int,value:string,before:string,after:string>"
@@ -207,29 +208,51 @@ def _proposals(kind: str, needs: str, pattern: str) -> Column:
 
 
 # --- Labels from the corpus -----------------------------------------------------------------------------------------------------
-def examples(docs: DataFrame, text: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
-    """(half, kind, label, x) of proposals in a hash sample of docs; half tells rows to fit on from those to calibrate with."""
-    docs = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    share = F.lit(float(rows)) / F.greatest(docs.agg(F.count("*")).scalar(), F.lit(1))
-    docs = docs.withColumn("__at", F.xxhash64("__text", F.lit("pii"))).where(F.pmod("__at", F.lit(1 << 20)) < share * (1 << 20)).where(F.length("__text") <= TRAIN_CHARS)
-    over = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"])
+_MARK = "struct<start:int,late:boolean,end:int,valid:boolean,masked:boolean,x:array<int>,next:int>"
+_LABELLED = "struct<label:int,x:array<int>>"
 
-    def labelled(kind: str, needs: str, pattern: str, masked: bool) -> Column:
-        given = lambda m, label: F.struct(F.lit(kind).alias("kind"), label.alias("label"), m["x"].alias("x"))
-        if kind == SECRET:
-            return F.transform(_proposals(kind, needs, pattern), lambda m: given(m, m["assigned"].cast("int")))
 
-        def label(m: Column, raw: Column) -> Column:
-            inside = lambda r: ~r["valid"] & (r["start"] <= m["start"]) & (m["end"] <= r["end"]) & ~same(m, r)
-            unsure = F.exists(raw, lambda r: inside(r) | (F.lit(masked) & over(m, r)))
-            return F.when(F.exists(raw, lambda r: r["valid"] & same(m, r)), 1).when(~unsure, 0)
+def _labels(raw: Column, proposals: Column, masked: bool) -> Column:
+    """(label, x) of proposals by the raw matches of the base rule, which don't overlap: 1 for one that is a valid match, null for one inside
+    an invalid match or, where masked, over any. The match that began last tells, and where masked the next one: two sweeps, so that a
+    text with very many takes linear time after sorting."""
+    mark = lambda m, late, valid, lacks, x: F.struct(m["start"].alias("start"), F.lit(late).alias("late"), m["end"].alias("end"), valid.alias("valid"), lacks.alias("masked"), x.alias("x"), F.lit(2**31 - 1).alias("next")).cast(_MARK)
+    no, none = F.lit(None).cast("boolean"), F.lit(None).cast("array<int>")
+    marks = F.array_sort(F.concat(F.transform(raw, lambda r: mark(r, False, r["valid"], no, none)), F.transform(proposals, lambda m: mark(m, True, no, m["masked"], m["x"]))))
+
+    def back(following: Column, m: Column) -> tuple[Column, Column]:
+        own = F.struct(*[m[c].alias(c) for c in ("start", "late", "end", "valid", "masked", "x")], following.alias("next"))
+        return F.when(m["late"], following).otherwise(m["start"]), own.cast(_MARK)
+
+    def step(last: Column, m: Column) -> tuple[Column, Column]:
+        same = (last["start"] == m["start"]) & (last["end"] == m["end"])
+        inside = ~last["valid"] & (m["end"] <= last["end"]) & ~same
+        unsure = inside | m["masked"] & ((last["end"] > m["start"]) | (m["next"] < m["end"]))
+        label = F.when(last["valid"] & same, 1).when(~unsure, 0)
+        return F.when(m["late"], last).otherwise(m).cast(_MARK), F.struct(F.when(m["late"], label).alias("label"), m["x"].alias("x")).cast(_LABELLED)
+
+    before = F.struct(F.lit(-1).alias("start"), F.lit(False).alias("late"), F.lit(-1).alias("end"), F.lit(False).alias("valid"), no.alias("masked"), none.alias("x"), F.lit(0).alias("next")).cast(_MARK)
+    whole = bound(marks, lambda w: F.reverse(bound(F.reverse(w), lambda r: scan(r, F.lit(2**31 - 1), back, _MARK)))) if masked else marks
+    labelled = F.filter(bound(whole, lambda w: scan(w, before, step, _LABELLED)), lambda e: e["label"].isNotNull())
+    return F.when(F.size(proposals) > 0, labelled).otherwise(F.array().cast(f"array<{_LABELLED}>"))
+
 
+def examples(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(half, kind, label, x) of all proposals in the whole texts of all docs; half, by the text's hash, tells rows to calibrate the trees of the other half."""
+    docs = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+
+    def labelled(kind: str) -> Column:
+        given = lambda e: F.struct(F.lit(kind).alias("kind"), e["label"].alias("label"), e["x"].alias("x"))
+        own = [g for g in GENERATORS if g[0] == kind]
+        if kind == SECRET:
+            return F.concat(*(F.transform(_proposals(*g[:3]), lambda m: given({"label": m["assigned"].cast("int"), "x": m["x"]})) for g in own))
         raw = F.transform(found(F.col("__text"), *BASE[kind]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), _valid(kind, m["value"]).alias("valid")))
-        return bound(raw, lambda r: F.transform(_proposals(kind, needs, pattern), lambda m: given(m, label(m, r))))
+        of = lambda g: F.transform(_proposals(*g[:3]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(g[3]).alias("masked"), m["x"].alias("x")))
+        labels = bound(F.concat(*map(of, own)), lambda p: F.when(F.size(p) > 0, bound(raw, lambda r: _labels(r, p, any(g[3] for g in own)))).otherwise(F.array().cast(f"array<{_LABELLED}>")))
+        return F.transform(labels, given)
 
-    rows = docs.select((F.col("__at").bitwiseAND(1 << 40) > 0).cast("int").alias("half"), F.explode(F.concat(*(labelled(*g) for g in GENERATORS))).alias("e"))
-    return rows.select("half", "e.*").where("label is not null")
+    half = (F.xxhash64("__text", F.lit("pii")).bitwiseAND(1 << 40) > 0).cast("int").alias("half")
+    return docs.select(half, F.explode(F.concat(*map(labelled, [*KINDS, SECRET]))).alias("e")).select("half", "e.*")
 
 
 # --- Boosted trees --------------------------------------------------------------------------------------------------------------
@@ -272,61 +295,86 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
     return f, cut, _grow(x[low], g[low], h[low], depth - 1), _grow(x[~low], g[~low], h[~low], depth - 1)
 
 
-def reference(counts: list, n: int = REFERENCE) -> list[tuple[int, ...]]:
+def _values(tree, x: np.ndarray) -> np.ndarray:
+    """A tree's value of each row of x."""
+    if isinstance(tree, float):
+        return np.full(len(x), tree)
+    f, cut, low, high = tree
+    out, left = np.empty(len(x)), x[:, f] <= cut
+    out[left], out[~left] = _values(low, x[left]), _values(high, x[~left])
+    return out
+
+
+def _odds(trees: list, x: np.ndarray) -> np.ndarray:
+    return sum((_values(t, x) for t in trees), np.zeros(len(x)))
+
+
+def _boosted(x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> list:
+    trees, score = [], np.zeros(len(x))
+    for _ in range(ROUNDS):
+        p = 1 / (1 + np.exp(-score))
+        trees.append(_grow(x, weight * (label - p), weight * p * (1 - p), DEPTH))
+        score += _values(trees[-1], x)
+    return trees
+
+
+def reference(vectors: np.ndarray, positives: np.ndarray, n: int = REFERENCE) -> np.ndarray:
     """Vectors that the corpus doesn't show, as negatives: by turns, all features drawn evenly from their range and a little past it, and a
     positive with one feature redrawn. So the trees bound the positives on all sides, not only against the negatives at hand. Words
-    beside a proposal are taken as they are in the corpus: their absence there says nothing."""
-    vectors = [c[1] for c in counts]
-    positives, known = [c[1] for c in counts if c[2]], set(vectors)
-    drawn, tops = random.Random(1), [1 if (most := max(x[f] for x in vectors)) <= 1 else most + 3 for f in range(len(vectors[0]))]
+    beside a proposal are taken as they are in the corpus: their absence there says nothing. vectors, positives: distinct rows."""
+    drawn, tops = random.Random(1), [1 if most <= 1 else most + 3 for most in vectors.max(axis=0).tolist()]
     words = {len(tops) - 4, len(tops) - 3} if len(tops) > 6 else set()
     free = [f for f in range(len(tops)) if f not in words]
     out = []
     for i in range(n):
-        x = list(drawn.choice(positives if i % 4 < 2 else vectors))
+        pool = positives if i % 4 < 2 else vectors
+        x = pool[drawn.randrange(len(pool))].tolist()
         for f in [drawn.choice(free)] if i % 4 < 2 else free:
             x[f] = drawn.randrange(tops[f] + 1)
-        out.append(tuple(x))
-    return [x for x in out if x not in known]
-
-
-def fit(counts: list[tuple[int, tuple[int, ...], int, int]]) -> Trees:
-    """counts: (half, features, label, n). Trees grow on half 0; the threshold is the least odds of positives that keep PRECISION, and a
-    majority among equal odds, on half 1. Both halves have reference vectors, weighing as much as their positives, as negatives."""
-    drawn = reference(counts)
-    positives = [max(1, sum(n for h, _, label, n in counts if h == half and label)) for half in (0, 1)]
-    learn = [c[1:] for c in counts if c[0] == 0] + [(x, 0, 2 * positives[0] / len(drawn)) for x in drawn[::2]]
-    x = np.array([c[0] for c in learn], np.int64)
-    label, weight = np.array([c[1] for c in learn], float), np.array([c[2] for c in learn], float)
-    trees, score = [], np.zeros(len(learn))
-    for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-score))
-        trees.append(_grow(x, weight * (label - p), weight * p * (1 - p), DEPTH))
-        score += [Trees.value(trees[-1], v) for v in x.tolist()]
-    whole = Trees(trees, 0.0, x.shape[1])
-    odds = {v: whole.odds(v) for v in [*(c[1] for c in counts), *drawn]}
-    cells: dict[float, list[float]] = {}
-    for half, v, label, n in [*counts, *((1, v, 0, 2 * positives[1] / len(drawn)) for v in drawn[1::2])]:
-        if half == 1:
-            cells.setdefault(round(odds[v], 9), [0.0, 0.0])[label] += n
-    threshold, right, wrong = math.inf, 0.0, 0.0
-    for value in sorted(cells, reverse=True):
-        no, yes = cells[value]
-        right, wrong = right + yes, wrong + no
-        if yes > no and value > 0 and right >= PRECISION * (right + wrong):
-            threshold = value - 1e-6
-    return Trees(trees, threshold, len(counts[0][1]))
-
-
-def train(docs: DataFrame, text: str = "text", rows: int = TRAIN_ROWS) -> dict[str, Trees]:
-    """Trees by kind, from the corpus that they are to judge. A kind without positives in both halves has none."""
-    counted = examples(docs, text, rows).groupBy("half", "kind", "label", "x").agg(F.count("*").alias("n"))
-    frequent = Window.partitionBy("kind").orderBy(F.desc("n"), "half", "label", "x")
-    top = counted.withColumn("nth", F.row_number().over(frequent)).where(F.col("nth") <= VECTORS).select("half", "kind", "label", "x", "n")
-    by: dict[str, list] = {}
-    for half, kind, label, x, n in top.collect():  # at most VECTORS rows a kind
-        by.setdefault(kind, []).append((half, tuple(x), label, n))
-    return {k: fit(sorted(v)) for k, v in by.items() if {half for half, _, label, _ in v if label} == {0, 1}}
+        out.append(x)
+    out = np.array(out, np.int64)
+    return out[~np.isin(_packed(out), _packed(vectors))]
+
+
+def _packed(x: np.ndarray) -> np.ndarray:
+    return (x << (FEATURE_BITS * np.arange(x.shape[1]))).sum(axis=1)
+
+
+def fit(x: np.ndarray, half: np.ndarray, label: np.ndarray, n: np.ndarray) -> Trees:
+    """A row of x, its half, label and number for each count. Trees grow on all rows. The threshold is the least odds of positives
+    that keep PRECISION, and a majority among equal odds, where the odds of each half come from trees grown on the other. Reference vectors,
+    weighing as much as the positives beside them, are negatives throughout."""
+    drawn = reference(np.unique(x, axis=0), np.unique(x[label == 1], axis=0))
+    positives = [n[(half == h) & (label == 1)].sum() for h in (0, 1)]
+
+    def rows(own: np.ndarray, more: np.ndarray, weight: float) -> tuple[np.ndarray, ...]:
+        return np.concatenate([x[own], more]), np.concatenate([label[own], np.zeros(len(more))]), np.concatenate([n[own], np.full(len(more), weight / max(1, len(more)))])
+
+    halves = [rows(half == h, drawn[h::2], positives[h]) for h in (0, 1)]
+    odds = [_odds(_boosted(*halves[1 - h]), halves[h][0]) for h in (0, 1)]
+    values, at = np.unique(np.round(np.concatenate(odds), 9), return_inverse=True)
+    truth, weight = (np.concatenate([halves[h][k] for h in (0, 1)]) for k in (1, 2))
+    yes, no = np.bincount(at, weight * truth, len(values)), np.bincount(at, weight * (1 - truth), len(values))
+    right, wrong = (np.cumsum(v[::-1])[::-1] for v in (yes, no))
+    fine = np.flatnonzero((yes > no) & (values > 0) & (right >= PRECISION * (right + wrong)))
+    threshold = float(values[fine[0]]) - 1e-6 if len(fine) else math.inf
+    return Trees(_boosted(*rows(np.ones(len(x), bool), drawn, sum(positives))), threshold, x.shape[1])
+
+
+def train(docs: DataFrame, text: str = "text") -> dict[str, Trees]:
+    """Trees by kind, from all rows of the corpus that they are to judge. A kind without positives in both halves has none."""
+    packed = F.aggregate("x", F.lit(0).cast("long"), lambda a, f: F.call_function("shiftleft", a, F.lit(FEATURE_BITS)) + f)
+    counted = examples(docs, text).select("half", "kind", "label", F.size("x").alias("width"), packed.alias("x")).groupBy("half", "kind", "label", "width", "x").agg(F.count("*").alias("n"))
+    table, out = counted.toArrow(), {}
+    kinds, columns = np.array(table["kind"].to_pylist(), object), {c: table[c].to_numpy().astype(np.int64) for c in ("half", "label", "width", "x", "n")}
+    for kind in sorted(set(kinds)):
+        half, label, width, x, n = (v[kinds == kind] for v in columns.values())
+        order = np.lexsort([x, label, half])
+        half, label, x, n = half[order], label[order], x[order], n[order].astype(float)
+        if {*half[label == 1].tolist()} == {0, 1}:
+            bits = FEATURE_BITS * np.arange(width[0])[::-1]
+            out[kind] = fit(x[:, None] >> bits & (1 << FEATURE_BITS) - 1, half, label.astype(float), n)
+    return out
 
 
 def _selected(number: int, kind: str, needs: str, pattern: str, trees: Trees) -> Column:

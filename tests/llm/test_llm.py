@@ -685,6 +685,35 @@ def test_pii_learns_nothing_from_nothing(spark):
     assert [len(r.spans) for r in pii.detect(df).orderBy("doc_id").collect()] == [0, 1, 0]
 
 
+def test_pii_learns_from_all_rows(spark):
+    """Every proposal of every row counts once, in texts of any length, and is labelled as by comparing it with all base matches."""
+    rng = random.Random(13)
+    parts = ["1", "2", ".", "@", "a", "bc", "+", "-", " ", "(", ")", "255", "4111111111111111", "x@y.z", "x at y dot com", "1.2.3.4", "é", "+1 (017) 555-7713", "017 555 7713", "b44e15e09fd311c3cf31", "token = "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["".join(rng.choice(parts) for _ in range(1200)), None, "", "word " * 30_000 + "a@b.com 1.2.3.4"]
+    want: dict = {}
+    for text in map(lambda t: t or "", texts):
+        base = set(base_spans(text))
+        for kind, needs, pattern, masked in pii.GENERATORS:
+            raw = [] if kind == pii.SECRET else [m.span() for m in re.finditer(pii.BASE[kind][1].replace(r"(?:\G|", "(?:"), text)]
+            b = 0
+            for m in re.finditer(pattern, text) if re.search(needs, text) else ():
+                last, (a, b) = b, m.span()
+                if kind == pii.SECRET:
+                    label = int(bool(re.search(pii.ASSIGNED, text[last:a][-pii.CONTEXT :])))
+                elif (kind, a, b) in base and (a, b) in raw:
+                    label = 1
+                elif any((kind, c, d) not in base and c <= a and b <= d and (a, b) != (c, d) or masked and a < d and c < b for c, d in raw):
+                    continue
+                else:
+                    label = 0
+                want[kind, label] = want.get((kind, label), 0) + 1
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    got = {(r.kind, r.label): r["count"] for r in pii.examples(df).groupBy("kind", "label").count().collect()}
+    assert got == want and len(want) == 10
+    many = spark.range(30_000).select(F.concat(F.lit("mail a"), "id", F.lit("@b.com now")).alias("text"))
+    assert pii.examples(many).groupBy("half").count().agg(F.sum("count")).first()[0] == 30_000
+
+
 def test_trees_agree_with_their_column(spark, pii_model):
     assert set(pii_model) == {*pii.KINDS, pii.SECRET}
     for kind, trees in pii_model.items():
